@@ -163,10 +163,16 @@ def quantile(df: DataFrame, keys: Sequence[str], value: str, chunk: Column | Non
     keys = list(keys)
     hist = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(
         F.count(F.lit(1)).alias("__n"))
-    cum = scan(hist, keys, [value], F.lit(0) if chunk is None else chunk,
-               __hi=running_sum("__n"))
-    totals = hist.groupBy(*keys).agg(F.sum("__n").alias("__total"))
-    both = cum.join(totals, keys) if keys else cum.crossJoin(totals)
+    if chunk is None:
+        # One row per distinct value: a window over them is small.
+        w = Window.partitionBy(*keys)
+        both = hist.withColumns({
+            "__hi": F.sum("__n").over(w.orderBy(value).rowsBetween(*_UPTO)),
+            "__total": F.sum("__n").over(w)})
+    else:
+        cum = scan(hist, keys, [value], chunk, __hi=running_sum("__n"))
+        totals = hist.groupBy(*keys).agg(F.sum("__n").alias("__total"))
+        both = cum.join(totals, keys) if keys else cum.crossJoin(F.broadcast(totals))
     lo_edge = F.col("__hi") - F.col("__n")
 
     def at(rank_: Column) -> Column:

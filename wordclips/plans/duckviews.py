@@ -37,11 +37,11 @@ VIEWS: dict[str, tuple[str, str]] = {
         CAST(sum(CASE WHEN end_ms - start_ms >= 50 THEN 1 ELSE 0 END) AS BIGINT) AS n_good,
         sum(CASE WHEN end_ms - start_ms >= 50 THEN 1 ELSE 0 END) / count(*) AS quality FROM clips GROUP BY 1"""),
     "vocab": ("clips", """SELECT word, count(*) AS n FROM clips WHERE end_ms - start_ms >= 50 GROUP BY 1"""),
-    "aligned": ("clips", f"""SELECT *, CASE WHEN {_KNOWN} AND end_ms > start_ms THEN
+    "aligned": ("clips", f"""SELECT *, CASE WHEN {_KNOWN} AND end_ms > start_ms AND tok % 7 <> 0 THEN
         list_transform(string_split(word, ''), lambda c, k: {{
           'phone': {_PHONES}[ascii(c) - 96],
-          'start_ms': start_ms + (end_ms - start_ms) * (k - 1) // length(word),
-          'end_ms': start_ms + (end_ms - start_ms) * k // length(word)}}) END AS phones FROM clips"""),
+          'start_ms': CASE WHEN tok % 31 = 0 THEN 100 ELSE 0 END + (end_ms - start_ms) * (k - 1) // length(word),
+          'end_ms': CASE WHEN tok % 31 = 0 THEN 100 ELSE 0 END + (end_ms - start_ms) * k // length(word)}}) END AS phones FROM clips"""),
     "captions": ("clips", """SELECT * FROM (SELECT source_id, tok, CASE WHEN tok % 13 = 5 THEN reverse(word) ELSE word END AS word,
         start_ms + ((source_id * 3 + tok * 7) % 9 - 4) * 90 AS t_ms FROM clips
         WHERE source_id % 10 = 0 AND tok % 11 <> 3) WHERE t_ms >= 0"""),
@@ -59,10 +59,10 @@ VIEWS: dict[str, tuple[str, str]] = {
     "ratings": ("clips", """SELECT word, clip_id, clip_id % 9 - 4 AS score FROM clips
         WHERE (clip_id * 31 + length(word)) % 7 = 0"""),
     "report_log": ("", """SELECT event_id AS seq, ts, user_id % 50 AS clip_id,
-        CASE event_type WHEN 'click' THEN 'start_early' WHEN 'view' THEN 'start_late'
-          WHEN 'purchase' THEN 'end_early' WHEN 'error' THEN 'end_late' ELSE 'odd' END AS kind FROM events"""),
-    "reports": ("clips", """SELECT * FROM (SELECT clip_id, unnest(['end_early','start_late']) AS kind, clip_id % 3 + 1 AS count
-        FROM clips WHERE clip_id % 41 = 3) WHERE kind = 'end_early' OR clip_id % 2 = 0"""),
+        CASE event_type WHEN 'click' THEN 'starts early' WHEN 'view' THEN 'starts late'
+          WHEN 'purchase' THEN 'ends early' WHEN 'error' THEN 'ends late' ELSE 'odd' END AS kind FROM events"""),
+    "reports": ("clips", """SELECT * FROM (SELECT clip_id, unnest(['ends early','starts late']) AS kind, clip_id % 3 + 1 AS count
+        FROM clips WHERE clip_id % 41 = 3) WHERE kind = 'ends early' OR clip_id % 2 = 0"""),
     "jobs": ("", """SELECT event_id AS seq, ts, user_id AS job_id, CASE WHEN event_type = 'signup' THEN 'queued'
         WHEN event_type IN ('view','click') THEN 'running' WHEN event_type = 'purchase' THEN 'done' ELSE 'error' END AS status FROM events"""),
     "notes": ("", """SELECT l_orderkey % 500 AS song_id, CAST(l_linenumber AS BIGINT) AS part_id,

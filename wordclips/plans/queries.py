@@ -1,6 +1,9 @@
 """All registered queries; importing the modules below registers them."""
 
-from wordclips.plans import q_index  # noqa: F401
+from wordclips.plans import (  # noqa: F401
+    q_health,
+    q_index,
+)
 from wordclips.plans.catalog import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
