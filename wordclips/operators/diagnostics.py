@@ -104,13 +104,15 @@ def clip_flags(clips: DataFrame, noises: DataFrame, ratings: DataFrame, reports:
 
     ``clips`` carries ``phones``; ``known_words`` lists pronounceable words.
     """
-    cols = ["source_id", "clip_id", "word", "start_ms", "end_ms", "phones"]
-    words = clips.select(*cols, F.lit("word").alias("kind"))
-    noise = noises.select(*cols[:-1], F.lit(None).cast(clips.schema["phones"].dataType).alias("phones"),
-                          F.lit("noise").alias("kind"))
+    cols = ["source_id", "clip_id", "word", "start_ms", "end_ms"]
+    # The phone arrays are read here and no further.
+    words = clips.select(*cols, F.lit("word").alias("kind"), F.col("phones").isNotNull().alias("aligned"),
+                         phones_outside().alias("outside"))
+    noise = noises.select(*cols, F.lit("noise").alias("kind"), F.lit(True).alias("aligned"),
+                          F.lit(False).alias("outside"))
     both = words.unionByName(noise)
     nxt = next_word_start(both.select("source_id", "start_ms", "kind"), chunk_ms)
-    some = words.groupBy("source_id").agg(F.max(F.col("phones").isNotNull()).alias("any_aligned"))
+    some = words.groupBy("source_id").agg(F.max("aligned").alias("any_aligned"))
     bad = ratings.where(F.col("score") < 0).select("clip_id").distinct().withColumn("neg", F.lit(True))
     said = reports.groupBy("clip_id").agg(F.sort_array(F.collect_list(F.concat(
         F.lit("reported: "), "kind", F.when(F.col("count") > 1, F.concat(
@@ -120,13 +122,13 @@ def clip_flags(clips: DataFrame, noises: DataFrame, ratings: DataFrame, reports:
         .join(bad, "clip_id", "left").join(said, "clip_id", "left").join(known, "word", "left")
     is_word = F.col("kind") == "word"
     gap = F.col("next_start") - F.col("end_ms")
-    unaligned = is_word & F.coalesce("any_aligned", F.lit(False)) & F.col("phones").isNull()
+    unaligned = is_word & F.coalesce("any_aligned", F.lit(False)) & ~F.col("aligned")
     flags = F.array(
         F.when(dur() < SHORT_MS, F.lit("very short")), F.when(gap < 0, F.lit("overlaps next")),
         F.when(dur() > LONG_MS, F.lit("very long")), F.when(is_word & F.col("neg"), F.lit("downvoted")),
         F.when(unaligned & F.col("known"), F.lit("not aligned")),
         F.when(unaligned & F.col("known").isNull(), F.lit("no pronunciation")),
-        F.when(~unaligned & is_word & phones_outside(), F.lit("alignment moved off")))
+        F.when(~unaligned & F.col("outside"), F.lit("alignment moved off")))
     told = F.when(is_word & F.col("said").isNotNull(), F.col("said")).otherwise(F.array())
     return t.select("source_id", "clip_id", "kind", gap.alias("gap_after"),
                     F.array_join(F.concat(F.array_compact(flags), told), "; ").alias("flags"))

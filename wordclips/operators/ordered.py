@@ -220,3 +220,21 @@ def overlap_join(left: DataFrame, right: DataFrame, keys: Sequence[str],
     first = F.col("__b") == bucket(F.greatest("__ll", "__rl"), width)
     return (a.join(b, [*keys, "__b"]).where(meets & first)
             .drop("__b", "__ll", "__lh", "__rl", "__rh"))
+
+
+def following(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column,
+              value: Column, k: int, name: str) -> DataFrame:
+    """Add ``name``: ``value`` (a struct) of up to ``k`` rows after this one, in order."""
+    keys, order = list(keys), list(order)
+    base = df.withColumn(_CHUNK, chunk)
+    w = Window.partitionBy(*keys, _CHUNK).orderBy(*order)
+    rows = base.withColumn("__l", F.collect_list(value).over(w.rowsBetween(1, k)))
+    firsts = base.select(*keys, _CHUNK, value.alias("__v"), F.row_number().over(w).alias("__r")) \
+        .where(F.col("__r") <= k)
+    heads = firsts.groupBy(*keys, _CHUNK).agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("__r", "__v"))), lambda x: x["__v"]).alias("__h"))
+    far = Window.partitionBy(*keys).orderBy(_CHUNK).rowsBetween(1, k)
+    # The next k chunks hold at least k rows between them, where so many follow.
+    carried = heads.select(*keys, _CHUNK, F.flatten(F.collect_list("__h").over(far)).alias("__c"))
+    return rows.join(carried, [*keys, _CHUNK]).withColumn(
+        name, F.slice(F.concat("__l", "__c"), 1, k)).drop("__l", "__c", _CHUNK)

@@ -44,7 +44,7 @@ VIEWS: dict[str, tuple[str, str]] = {
           'end_ms': CASE WHEN tok % 31 = 0 THEN 100 ELSE 0 END + (end_ms - start_ms) * k // length(word)}}) END AS phones FROM clips"""),
     "captions": ("clips", """SELECT * FROM (SELECT source_id, tok, CASE WHEN tok % 13 = 5 THEN reverse(word) ELSE word END AS word,
         start_ms + ((source_id * 3 + tok * 7) % 9 - 4) * 90 AS t_ms FROM clips
-        WHERE source_id % 10 = 0 AND tok % 11 <> 3) WHERE t_ms >= 0"""),
+        WHERE tok % 11 <> 3) WHERE t_ms >= 0"""),
     "texts": ("", "SELECT conv_id * 1000 + turn AS text_id, text FROM conversations"),
     "tokens": ("texts", r"""SELECT text_id, CAST(row_number() OVER w - 1 AS BIGINT) AS pos, word,
         ends OR lead(word) OVER w IS NULL AS ends FROM (
@@ -53,6 +53,34 @@ VIEWS: dict[str, tuple[str, str]] = {
           FROM (SELECT text_id, unnest(l) AS raw, generate_subscripts(l, 1) AS k
                 FROM (SELECT text_id, regexp_split_to_array(trim(text, E' \n\t\r'), '[ \n\t\r]+') AS l FROM texts)))
         WHERE word <> '' WINDOW w AS (PARTITION BY text_id ORDER BY k)"""),
+    "contexts": ("texts", f"""SELECT text_id AS ctx_id, l[greatest(1, len(l) - 4):len(l) - 1] AS words,
+        CASE WHEN text_id % 2 = 1 THEN substring(l[len(l)], 1, 1) ELSE '' END AS prefix
+        FROM (SELECT text_id, {_WORDS} AS l FROM texts) WHERE len(l) >= 2"""),
+    "wanted_lexicon": ("clips tokens", f"""SELECT word, list_transform(string_split(word, ''), lambda c: {_PHONES}[ascii(c) - 96]) AS phones
+        FROM (SELECT word FROM clips WHERE {_KNOWN} UNION SELECT word FROM tokens WHERE {_KNOWN})"""),
+    "pidx": ("clips ratings", """SELECT *, next_start - end_ms AS gap_after, coalesce(next_start - end_ms <= 600 AND NOT vetoed AND NOT next_vetoed, false) AS step
+        FROM (SELECT *, row_number() OVER w - 1 AS idx, lag(end_ms) OVER w AS prev_end, lead(start_ms) OVER w AS next_start,
+          lead(word) OVER w AS next_word, lead(vetoed) OVER w AS next_vetoed FROM (
+            SELECT c.*, coalesce(score <= -2, false) AS vetoed FROM clips c LEFT JOIN ratings r ON r.word = c.word AND r.clip_id = c.clip_id
+            WHERE end_ms > start_ms) WINDOW w AS (PARTITION BY source_id ORDER BY start_ms, clip_id))"""),
+    "runs": ("pidx tokens", """SELECT text_id, pos, source_id, idx AS start_idx,
+        max(pos) OVER (PARTITION BY text_id, source_id, diag, isl) - pos + 2 AS length FROM (
+          SELECT *, pos - row_number() OVER (PARTITION BY text_id, source_id, diag ORDER BY pos) AS isl FROM (
+            SELECT text_id, pos, source_id, idx, idx - pos AS diag FROM
+              (SELECT text_id, pos, word, lead(word) OVER (PARTITION BY text_id ORDER BY pos) AS nw FROM tokens) q
+              JOIN pidx c ON c.word = q.word AND c.next_word = q.nw AND c.step))"""),
+    "best": ("runs quality", """SELECT text_id, pos, source_id, start_idx, length FROM (
+        SELECT runs.*, row_number() OVER (PARTITION BY text_id, pos ORDER BY length DESC, quality DESC, source_id, start_idx) AS r
+        FROM runs JOIN quality USING (source_id)) WHERE r = 1"""),
+    "capped": ("best tokens", """SELECT t.text_id, t.pos, b.source_id, b.start_idx,
+        CASE WHEN least(length, stop - t.pos + 1) >= 2 THEN least(length, stop - t.pos + 1) ELSE 1 END AS cap
+        FROM (SELECT *, min(CASE WHEN ends THEN pos END) OVER (PARTITION BY text_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS stop FROM tokens) t
+        LEFT JOIN best b ON b.text_id = t.text_id AND b.pos = t.pos"""),
+    "walk": ("capped", """SELECT text_id, pos FROM capped WHERE pos = 0 UNION ALL
+        SELECT w.text_id, w.pos + c.cap FROM walk w JOIN capped c ON c.text_id = w.text_id AND c.pos = w.pos
+        JOIN capped n ON n.text_id = w.text_id AND n.pos = w.pos + c.cap"""),
+    "cover": ("walk", """SELECT text_id, pos, cap AS length, CASE WHEN cap >= 2 THEN source_id END AS source_id,
+        CASE WHEN cap >= 2 THEN start_idx END AS start_idx FROM walk JOIN capped USING (text_id, pos)"""),
     "votes": ("", """SELECT event_id AS seq, ts, 'w' || (event_id % 20) AS word, user_id % 50 AS clip_id,
         CASE WHEN event_type = 'signup' THEN 'reset' ELSE 'add' END AS op,
         CASE WHEN event_type IN ('purchase','click') THEN 1 ELSE -1 END AS delta FROM events"""),
@@ -101,8 +129,12 @@ def with_views(needs: str, sql: str) -> str:
         add(name)
     if not done:
         return sql
-    head = ",\n".join(f"{n} AS ({b})" for n, b in done.items())
+    # A view read by a recursion is made once, not once per round.
+    recursive = "walk" in done
+    head = ",\n".join(f"{n} AS {'MATERIALIZED ' if recursive and n == 'capped' else ''}({b})"
+                      for n, b in done.items())
+    start = "WITH RECURSIVE" if recursive else "WITH"
     body = sql.strip()
     if body.upper().startswith("WITH "):
-        return f"WITH {head},\n{body[5:]}"
-    return f"WITH {head}\n{body}"
+        return f"{start} {head},\n{body[5:]}"
+    return f"{start} {head}\n{body}"

@@ -79,7 +79,7 @@ def _(t):
 
 
 @query("J7_verify_captions", "clips captions", """
-    WITH seq AS (SELECT *, max(end_ms) OVER (PARTITION BY source_id ORDER BY start_ms, clip_id) AS reach FROM clips WHERE source_id % 10 = 0),
+    WITH seq AS (SELECT *, max(end_ms) OVER (PARTITION BY source_id ORDER BY start_ms, clip_id) AS reach FROM clips),
     c AS (SELECT *, source_id * 100000 + tok AS cap_id FROM captions),
     win AS (SELECT cap_id, t_ms, c.word AS cap, s.word AS w, s.start_ms, s.clip_id FROM c JOIN seq s ON s.source_id = c.source_id
       AND s.start_ms <= t_ms + 600 AND s.reach >= t_ms - 600),
@@ -91,10 +91,10 @@ def _(t):
     FROM c LEFT JOIN near ON near.cap_id = c.cap_id AND r = 1""")
 def j7(t):
     caps = t.captions.withColumn("cap_id", F.col("source_id") * 100000 + F.col("tok")).drop("tok")
-    return CA.verify_captions(caps, t.clips.where(F.col("source_id") % 10 == 0))
+    return CA.verify_captions(caps, t.clips)
 
 
-_CHECKED = """seq AS (SELECT *, max(end_ms) OVER (PARTITION BY source_id ORDER BY start_ms, clip_id) AS reach FROM clips WHERE source_id % 10 = 0),
+_CHECKED = """seq AS (SELECT *, max(end_ms) OVER (PARTITION BY source_id ORDER BY start_ms, clip_id) AS reach FROM clips),
     c AS (SELECT *, source_id * 100000 + tok AS cap_id FROM captions),
     win AS (SELECT cap_id, t_ms, c.word AS cap, s.word AS w, s.start_ms, s.clip_id FROM c JOIN seq s ON s.source_id = c.source_id
       AND s.start_ms <= t_ms + 600 AND s.reach >= t_ms - 600),
@@ -330,8 +330,8 @@ _TAKES = """rep AS (SELECT clip_id, sum(count) AS reports FROM reports GROUP BY
         * CASE WHEN prev_end IS NULL OR start_ms - prev_end >= 60 THEN 10 ELSE 1 END AS DOUBLE) AS edge
       FROM bleed b LEFT JOIN ratings r ON r.word = b.word AND r.clip_id = b.clip_id LEFT JOIN rep ON rep.clip_id = b.clip_id
       LEFT JOIN quality q ON q.source_id = b.source_id WHERE end_ms - start_ms >= 50),
-    takes1 AS (SELECT *, round(quality * quality * quality * edge
-      * CASE WHEN score = 0 THEN 1 ELSE least(8, greatest(0.02::DOUBLE, pow(2.0, score))) END * pow(0.2::DOUBLE, reports), 9) AS weight FROM takes0),
+    takes1 AS (SELECT *, quality * quality * quality * edge
+      * CASE WHEN score = 0 THEN 1 ELSE least(8, greatest(0.02::DOUBLE, pow(2.0, score))) END * pow(0.2::DOUBLE, reports) AS weight FROM takes0),
     takes AS (SELECT *, greatest(weight * CASE WHEN bleed_risk THEN 0.05::DOUBLE ELSE 1 END, 1e-6::DOUBLE) AS pick_weight FROM takes1)"""
 _FLOORS = """floors AS (SELECT word, CASE WHEN phones IS NOT NULL THEN len(phones) * 45 ELSE greatest(80, length(word) * 25) END AS floor_ms
       FROM vocab LEFT JOIN lexicon USING (word))"""
@@ -376,10 +376,10 @@ def _(t):
     return TK.plausible_takes(takes(t), floors(t)).select("word", "clip_id", "median_ms", "n")
 
 
-@query("R5_best_takes", _NEED, f"""WITH {_TAKES}, {_FLOORS}, {_GOOD} SELECT word, source_id, clip_id, start_ms, end_ms, pick_weight FROM (
+@query("R5_best_takes", _NEED, f"""WITH {_TAKES}, {_FLOORS}, {_GOOD} SELECT word, source_id, clip_id, start_ms, end_ms FROM (
     SELECT *, row_number() OVER (PARTITION BY word ORDER BY pick_weight DESC, source_id, start_ms, clip_id) AS rr FROM plausible) WHERE rr = 1""")
 def _(t):
-    return TK.best_takes(TK.plausible_takes(takes(t), floors(t)))
+    return TK.best_takes(TK.plausible_takes(takes(t), floors(t))).drop("pick_weight")
 
 
 @query("R5_pick_takes")

@@ -3,6 +3,7 @@
 from wordclips.plans import (  # noqa: F401
     q_health,
     q_index,
+    q_phrases,
 )
 from wordclips.plans.catalog import ORACLE, QUERIES
 

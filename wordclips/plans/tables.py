@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from wordclips.functions import phones as PH
 from wordclips.functions import text as TX
 from wordclips.operators import index as IX
+from wordclips.operators import phrases as PR
 
 # One phone per letter, a to z, for the derived lexicon.
 LETTER_PHONES = ("AE B K D EH F G HH IH JH K L M N AA P K R S T AH V W K IY Z").split()
@@ -114,7 +115,7 @@ class Tables:
 
     @cached_property
     def captions(self) -> DataFrame:
-        c = self.clips.where((F.col("source_id") % 10 == 0) & (F.col("tok") % 11 != 3))
+        c = self.clips.where(F.col("tok") % 11 != 3)
         t = F.col("start_ms") + ((F.col("source_id") * 3 + F.col("tok") * 7) % 9 - 4) * 90
         return c.select("source_id", "tok",
                         F.when(F.col("tok") % 13 == 5, F.reverse("word")).otherwise(F.col("word"))
@@ -130,6 +131,28 @@ class Tables:
     def tokens(self) -> DataFrame:
         return TX.tokenize(self.texts)
 
+    @cached_property
+    def contexts(self) -> DataFrame:
+        """What was typed before each turn's last word, and half the time its first letter."""
+        w = self.texts.select("text_id", words_of(F.col("text")).alias("l")).where(F.size("l") >= 2)
+        n = F.size("l")
+        return w.select(
+            F.col("text_id").alias("ctx_id"),
+            F.slice("l", F.greatest(F.lit(1), n - 4), F.least(F.lit(4), n - 1)).alias("words"),
+            F.when(F.col("text_id") % 2 == 1, F.substring(F.element_at("l", -1), 1, 1))
+            .otherwise(F.lit("")).alias("prefix"))
+
+    @cached_property
+    def wanted_lexicon(self) -> DataFrame:
+        """Pronunciations of the plain words of clips and texts alike."""
+        words = self.clips.select("word").unionByName(self.tokens.select("word"))
+        return words.where(F.col("word").rlike("^[a-z]+$") & (F.length("word") % 3 != 0)).distinct() \
+            .select("word", letter_phones(F.col("word")).alias("phones"))
+
+    @cached_property
+    def phrase_index(self) -> DataFrame:
+        return PR.phrase_index(self.clips, self.ratings)
+
     @cached_property
     def votes(self) -> DataFrame:
         """A vote log over real clips: (seq, ts, word, clip_id, op, delta)."""
