@@ -231,6 +231,7 @@ def continuations(contexts: DataFrame, index: DataFrame, limit: int = 10,
     contexts are counted once, and only phrases some context ends in are.
     """
     n = F.size("words")
+    contexts = contexts.withColumn("prefix", F.coalesce("prefix", F.lit("")))
     tails = contexts.where(n > 0).select(
         "ctx_id", "prefix", "words", F.explode(F.sequence(F.lit(1), F.least(n, F.lit(longest)))).alias("len")) \
         .select("ctx_id", "prefix", "len", F.array_join(F.slice("words", -F.col("len"), F.col("len")), " ").alias("tail"))
@@ -244,16 +245,14 @@ def continuations(contexts: DataFrame, index: DataFrame, limit: int = 10,
         F.get("nxt", F.col("len") - 1)["word"].alias("next"))
     counts = said.join(asked.select("len", "tail").distinct(), ["len", "tail"], "left_semi") \
         .groupBy("len", "tail", "next").agg(F.count(F.lit(1)).alias("n"))
-    found = counts.join(asked, ["len", "tail"]).where(F.col("next").startswith(F.coalesce("prefix", F.lit(""))))
+    found = counts.join(asked, ["len", "tail"]).where(F.col("next").startswith(F.col("prefix")))
     w = Window.partitionBy("len", "tail", "prefix").orderBy(F.desc("n"), "next")
     top = found.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= limit)
     known = top.where(F.col("rank") == 1).select("len", "tail", "prefix")
-    use = tails.join(known, (tails["len"] == known["len"]) & (tails["tail"] == known["tail"])
-                     & tails["prefix"].eqNullSafe(known["prefix"]), "left_semi") \
-        .groupBy("ctx_id").agg(F.max(F.struct("len", "tail", "prefix")).alias("t")).select("ctx_id", "t.*")
-    return use.alias("u").join(top.alias("p"), (F.col("u.len") == F.col("p.len")) & (F.col("u.tail") == F.col("p.tail"))
-                               & F.col("u.prefix").eqNullSafe(F.col("p.prefix"))) \
-        .select("ctx_id", F.col("u.len").cast("bigint").alias("matched"), F.col("p.next").alias("next"), "n", "rank")
+    keys = ["len", "tail", "prefix"]
+    use = tails.join(known, keys, "left_semi").groupBy("ctx_id").agg(
+        F.max(F.struct(*keys)).alias("t")).select("ctx_id", "t.*")
+    return use.join(top, keys).select("ctx_id", F.col("len").cast("bigint").alias("matched"), "next", "n", "rank")
 
 
 def complete_prefix(contexts: DataFrame, vocab: DataFrame, continued: DataFrame, limit: int = 10) -> DataFrame:

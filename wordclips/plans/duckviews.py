@@ -135,6 +135,8 @@ def with_views(needs: str, sql: str) -> str:
                       for n, b in done.items())
     start = "WITH RECURSIVE" if recursive else "WITH"
     body = sql.strip()
+    if body.upper().startswith("WITH RECURSIVE "):
+        start, body = "WITH RECURSIVE", "WITH " + body[15:]
     if body.upper().startswith("WITH "):
         return f"{start} {head},\n{body[5:]}"
     return f"{start} {head}\n{body}"

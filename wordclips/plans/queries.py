@@ -4,6 +4,7 @@ from wordclips.plans import (  # noqa: F401
     q_health,
     q_index,
     q_phrases,
+    q_splice,
 )
 from wordclips.plans.catalog import ORACLE, QUERIES
 

@@ -28,7 +28,7 @@ def words_of(text: Column) -> Column:
 
 def letter_phones(word: Column) -> Column:
     table = F.array(*[F.lit(p) for p in LETTER_PHONES])
-    return F.transform(F.split(word, ""), lambda c: F.element_at(table, F.ascii(c) - 96))
+    return F.transform(F.split(word, ""), lambda c: F.get(table, F.ascii(c) - 97))
 
 
 class Tables:
