@@ -115,8 +115,8 @@ def _div(n: Column, size: int) -> Column:
     return ((n - n % size).cast("decimal(20,0)") / F.lit(size)).cast("bigint")
 
 
-def say_ordinal(n: Column) -> Column:
-    words = say_number(n)
+def as_ordinal(words: Column) -> Column:
+    """The words of a number as those of an ordinal: twenty two is twenty second."""
     last = F.element_at(words, -1)
     said = F.when(last.endswith("y"), F.concat(F.regexp_replace(last, "y$", "ie"), F.lit("th"))) \
         .otherwise(F.concat(last, F.lit("th")))

@@ -130,6 +130,15 @@ def running_min(expr) -> Step:
     )
 
 
+def min_before(expr) -> Step:
+    return Step(
+        lambda w, wd: F.min(_col(expr)).over(w.rowsBetween(*_BEFORE)),
+        lambda o: F.min(_col(expr)),
+        lambda s, w, wd: F.min(s).over(w.rowsBetween(*_BEFORE)),
+        lambda a, b: F.least(a, b),
+    )
+
+
 def scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column,
          **steps: Step) -> DataFrame:
     """Add ordered columns per ``keys``; ``order`` must be total in a group.
@@ -238,3 +247,16 @@ def following(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: C
     carried = heads.select(*keys, _CHUNK, F.flatten(F.collect_list("__h").over(far)).alias("__c"))
     return rows.join(carried, [*keys, _CHUNK]).withColumn(
         name, F.slice(F.concat("__l", "__c"), 1, k)).drop("__l", "__c", _CHUNK)
+
+
+def with_halo(df: DataFrame, place: str, size: int, before: int, after: int) -> DataFrame:
+    """Rows cut into chunks of ``size`` along ``place``, each with the rows just outside it.
+
+    Adds ``chunk`` and ``own``; a window per chunk then sees up to ``before``
+    and ``after`` rows beyond it, and only ``own`` rows are kept.
+    """
+    home = bucket(place, size)
+    near = F.array_distinct(F.array(
+        home, bucket(F.col(place) + before, size), bucket(F.col(place) - after, size)))
+    return df.select("*", home.alias("__home"), F.explode(near).alias("chunk")) \
+        .withColumn("own", F.col("chunk") == F.col("__home")).drop("__home")

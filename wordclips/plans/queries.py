@@ -4,6 +4,8 @@ from wordclips.plans import (  # noqa: F401
     q_health,
     q_index,
     q_phrases,
+    q_songs,
+    q_sound,
     q_splice,
 )
 from wordclips.plans.catalog import ORACLE, QUERIES
