@@ -1,6 +1,7 @@
 """All registered queries; importing the modules below registers them."""
 
 from wordclips.plans import (  # noqa: F401
+    q_corpus,
     q_health,
     q_index,
     q_phrases,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -25,19 +26,22 @@ def build_session(app: str = "wordclips", cores: str | int = "*", **conf: str) -
     return builder.getOrCreate()
 
 
-def cut_lineage(df):
-    """Write ``df`` once to the shared checkpoint folder and read it back.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder every executor sees: the cluster's ``spark.checkpoint.dir``.
 
-    The folder is the cluster's ``spark.checkpoint.dir``.  Only where neither
-    the setting nor the context names one (as in tests) is one made here.
+    Only where neither the setting nor the context names one (as in tests) is
+    one made here.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not folder:
+        folder = tempfile.mkdtemp(prefix="wordclips-checkpoint-")
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            import tempfile
-
-            folder = tempfile.mkdtemp(prefix="wordclips-checkpoint-")
         context.setCheckpointDir(folder)
+    return folder
+
+
+def cut_lineage(df):
+    """Write ``df`` once to the shared folder and read it back."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
