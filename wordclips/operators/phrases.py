@@ -153,7 +153,9 @@ def cover_text(tokens: DataFrame, best: DataFrame) -> DataFrame:
     stop = F.when(F.col("ends"), F.col("pos")).otherwise(F.col("later_end"))
     t = sent.withColumn("stop", stop).join(best, ["text_id", "pos"], "left")
     cap = F.least(F.col("length"), F.col("stop") - F.col("pos") + 1)
-    t = t.withColumn("cap", F.when(cap >= 2, cap).otherwise(F.lit(1)).cast("bigint"))
+    # A position without a run has no length, which ``least`` would skip over.
+    run = F.col("length").isNotNull() & (cap >= 2)
+    t = t.withColumn("cap", F.when(run, cap).otherwise(F.lit(1)).cast("bigint"))
     # One array of run candidates per text, which came in as one row.
     runs = t.where(F.col("cap") >= 2).groupBy("text_id").agg(
         F.sort_array(F.collect_list(F.struct("pos", "cap"))).alias("runs"))

@@ -73,7 +73,7 @@ VIEWS: dict[str, tuple[str, str]] = {
         SELECT runs.*, row_number() OVER (PARTITION BY text_id, pos ORDER BY length DESC, quality DESC, source_id, start_idx) AS r
         FROM runs JOIN quality USING (source_id)) WHERE r = 1"""),
     "capped": ("best tokens", """SELECT t.text_id, t.pos, b.source_id, b.start_idx,
-        CASE WHEN least(length, stop - t.pos + 1) >= 2 THEN least(length, stop - t.pos + 1) ELSE 1 END AS cap
+        CASE WHEN length IS NOT NULL AND least(length, stop - t.pos + 1) >= 2 THEN least(length, stop - t.pos + 1) ELSE 1 END AS cap
         FROM (SELECT *, min(CASE WHEN ends THEN pos END) OVER (PARTITION BY text_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS stop FROM tokens) t
         LEFT JOIN best b ON b.text_id = t.text_id AND b.pos = t.pos"""),
     "walk": ("capped", """SELECT text_id, pos FROM capped WHERE pos = 0 UNION ALL

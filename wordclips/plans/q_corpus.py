@@ -10,6 +10,7 @@ from wordclips.functions import text as TX
 from wordclips.operators import reconcile as RC
 from wordclips.operators import windows as WN
 from wordclips.plans.catalog import query
+from wordclips.session import cut_lineage
 from wordclips.sources import corpus as CO
 from wordclips.sources import readers as RD
 from wordclips.streaming import feeds as FD
@@ -152,7 +153,7 @@ def _(t):
     return WN.median_shift(placed(t))
 
 
-@query("C8_crossing_repair", "clips sources", f"""WITH {_PLACED} SELECT source_id, CAST(sum((ne > n_start)::INT) AS BIGINT) AS crossings FROM w WHERE ok GROUP BY 1""")
+@query("C8_crossing_repair", "clips sources", f"""WITH {_PLACED} SELECT source_id, CAST(coalesce(sum((ne > n_start)::INT), 0) AS BIGINT) AS crossings FROM w WHERE ok GROUP BY 1""")
 def _(t):
     # As many neighbours meet at a cut as crossed before it.
     from wordclips.operators import ordered as O
@@ -198,7 +199,8 @@ def heard_of(w):
 
 
 def windows(t):
-    w = WN.window_words(t.aligned, "window").withColumn("pos", F.col("n"))
+    # A stored table in practice: both sides and every later step read it.
+    w = cut_lineage(WN.window_words(t.aligned, "window").withColumn("pos", F.col("n")))
     return w, heard_of(w)
 
 
