@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import json
 import os
+import sys
 import time
 
 HEADLINE = [
@@ -32,6 +33,7 @@ def main() -> None:
         # Every row and column is computed, nothing is brought to the driver.
         QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
         took[name] = round(time.time() - start, 3)
+        print(name, took[name], file=sys.stderr, flush=True)
     print(json.dumps({"metric": "total_seconds", "value": round(sum(took.values()), 3), "unit": "sec",
                       "queries": took, "sf": os.path.basename(folder.rstrip("/")).replace("sf", "")}))
     spark.stop()

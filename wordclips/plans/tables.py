@@ -40,9 +40,19 @@ class Tables:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    @cached_property
+    def documents(self) -> DataFrame:
+        """The documents, spread out where their files give fewer tasks than there are cores.
+
+        Many files, as at scale, are read as they are.
+        """
+        d = self.read("documents").select("doc_id", "text", "lang", "source")
+        cores = self.spark.sparkContext.defaultParallelism
+        return d.repartition(cores, "doc_id") if len(d.inputFiles()) * 2 < cores else d
+
     @cached_property
     def sources(self) -> DataFrame:
-        d = self.read("documents")
+        d = self.documents
         return d.select(
             F.col("lang").alias("corpus"), F.col("doc_id").alias("source_id"),
             F.concat(F.lit("vid"), F.col("doc_id")).alias("video_id"),
@@ -52,7 +62,7 @@ class Tables:
 
     @cached_property
     def clips(self) -> DataFrame:
-        d = self.read("documents")
+        d = self.documents
         t = d.select("lang", "source", "doc_id", F.posexplode(words_of(F.col("text"))).alias("i", "word"))
         i = F.col("i").cast("bigint")
         base = i * 400 + ((F.col("doc_id") * 7 + i * 13) % 10) * 20
