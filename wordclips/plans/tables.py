@@ -21,9 +21,12 @@ LETTER_PHONES = ("AE B K D EH F G HH IH JH K L M N AA P K R S T AH V W K IY Z").
 
 
 def words_of(text: Column) -> Column:
-    """Cleaned, non-empty words of a text, split on blanks, tabs and newlines."""
-    cleaned = F.transform(F.split(text, "[ \\n\\t\\r]+"), lambda t: TX.clean_word(t))
-    return F.filter(cleaned, lambda w: w != "")
+    """Cleaned, non-empty words of a text, split on blanks, tabs and newlines.
+
+    The text is cleaned whole, blanks kept, so that no lambda runs per word.
+    """
+    cleaned = F.lower(F.regexp_replace(text, r"[^\p{L}\p{N}_ \n\t\r]", ""))
+    return F.array_remove(F.split(cleaned, r"[ \n\t\r]+"), "")
 
 
 def letter_phones(word: Column) -> Column:
