@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -29,12 +31,14 @@ def build_session(app: str = "wordclips", cores: str | int = "*", **conf: str) -
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor sees: the cluster's ``spark.checkpoint.dir``.
 
-    Only where neither the setting nor the context names one (as in tests) is
-    one made here.
+    In a local session, where one machine is the whole cluster, a folder is made
+    if none is set (as in tests); on a cluster a missing setting is an error.
     """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
+        if not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="wordclips-checkpoint-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
@@ -45,3 +49,14 @@ def cut_lineage(df):
     """Write ``df`` once to the shared folder and read it back."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df, name: str = "table"):
+    """Write ``df`` once as a parquet table in the shared folder and read it back.
+
+    Columnar and compressed, so several passes over it are cheaper than over a
+    checkpoint; it survives lost executors in the same way.
+    """
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
