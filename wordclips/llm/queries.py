@@ -1,6 +1,8 @@
 """All queries of this subpackage; importing the modules below registers them."""
 
 from wordclips.llm import (  # noqa: F401
+    chats,
+    lines,
     mixing,
 )
 from wordclips.llm.catalog import ORACLE, QUERIES
