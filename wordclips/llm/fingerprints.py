@@ -99,7 +99,7 @@ def with_next(docs: DataFrame, key: str, value: Column, into: str, per_chunk: in
     edges: list = []
     if stats["have"] and parts > 1:
         edges = docs.agg(F.percentile_approx(key, [i / parts for i in range(1, parts)], 100 * parts)).first()[0]
-    splits = [-math.inf, *sorted({float(e) for e in edges}), math.inf]
+    splits = [-math.inf, *sorted({float(e) for e in edges} or {0.0}), math.inf]
     cut = Bucketizer(splits=splits, inputCol="__at", outputCol="__chunk", handleInvalid="keep")
     placed = cut.transform(docs.withColumn("__at", F.col(key).cast("double"))).drop("__at") \
         .withColumn("__chunk", F.when(F.col(key).isNull(), -1).otherwise(F.col("__chunk").cast("int")))
