@@ -2,6 +2,7 @@
 
 from wordclips.llm import (  # noqa: F401
     chats,
+    decontaminate,
     fingerprints,
     lines,
     mixing,
