@@ -125,3 +125,42 @@ class Bloom:
         one, low = np.uint64(1), np.uint64(63)
         at = lambda x: (self.table[(x >> np.uint64(6)).astype(np.int64)] >> (x & low)) & one
         return (at(a) & at(b)) == one
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Table]:
+    """Batches sorted by an integer ``column``, cut anew so that no group spans two tables."""
+    rest: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        g = batch.column(column).to_numpy(zero_copy_only=False)
+        change = np.flatnonzero(g[1:] != g[:-1]) + 1
+        if rest and rest[-1].column(column)[rest[-1].num_rows - 1].as_py() != g[0]:
+            yield pa.Table.from_batches(rest)
+            rest = []
+        if len(change):
+            cut = int(change[-1])
+            yield pa.Table.from_batches([*rest, batch.slice(0, cut)])
+            rest = [batch.slice(cut)]
+        else:
+            rest.append(batch)
+    if rest:
+        yield pa.Table.from_batches(rest)
+
+
+def starts_of(g: np.ndarray) -> np.ndarray:
+    """Where each group of a sorted column begins, and its end."""
+    return np.concatenate(([0], np.flatnonzero(g[1:] != g[:-1]) + 1, [len(g)]))
+
+
+def roots(linked: np.ndarray) -> np.ndarray:
+    """For a symmetric matrix of links, the first member of each row's component."""
+    n = len(linked)
+    reach = linked | np.eye(n, dtype=bool)
+    label = np.arange(n)
+    while True:
+        low = np.where(reach, label[None, :], n).min(axis=1)
+        low = low[low]
+        if (low == label).all():
+            return label
+        label = low

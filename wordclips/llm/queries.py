@@ -6,6 +6,7 @@ from wordclips.llm import (  # noqa: F401
     fingerprints,
     lines,
     mixing,
+    ngram_join,
 )
 from wordclips.llm.catalog import ORACLE, QUERIES
 
