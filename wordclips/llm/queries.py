@@ -7,6 +7,7 @@ from wordclips.llm import (  # noqa: F401
     lines,
     mixing,
     ngram_join,
+    substrings,
 )
 from wordclips.llm.catalog import ORACLE, QUERIES
 
