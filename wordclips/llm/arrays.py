@@ -164,3 +164,16 @@ def roots(linked: np.ndarray) -> np.ndarray:
         if (low == label).all():
             return label
         label = low
+
+
+def lots(column: pa.Array, most: int = 1 << 20) -> Iterator[list[np.ndarray]]:
+    """A column's texts in lots of about ``most`` bytes (one text at least)."""
+    lot, held = [], 0
+    for data in texts(column):
+        lot.append(data)
+        held += len(data)
+        if held >= most:
+            yield lot
+            lot, held = [], 0
+    if lot:
+        yield lot

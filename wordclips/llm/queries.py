@@ -4,6 +4,7 @@ from wordclips.llm import (  # noqa: F401
     chats,
     decontaminate,
     fingerprints,
+    langid,
     lines,
     mixing,
     ngram_join,
