@@ -8,6 +8,7 @@ from wordclips.llm import (  # noqa: F401
     lines,
     mixing,
     ngram_join,
+    quality,
     substrings,
 )
 from wordclips.llm.catalog import ORACLE, QUERIES
