@@ -10,6 +10,7 @@ from wordclips.llm import (  # noqa: F401
     ngram_join,
     quality,
     substrings,
+    urls,
 )
 from wordclips.llm.catalog import ORACLE, QUERIES
 
