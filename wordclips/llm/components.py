@@ -32,6 +32,14 @@ def _small(edges: DataFrame) -> DataFrame:
         low.select("a", F.col("m").alias("b"))).where("a != b").distinct()
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node hangs under one node, and no node both hangs and holds."""
+    ends = edges.select(F.col("a").alias("v"), F.lit(1).alias("hangs"), F.lit(0).alias("holds")).unionByName(
+        edges.select(F.col("b").alias("v"), F.lit(0).alias("hangs"), F.lit(1).alias("holds")))
+    nodes = ends.groupBy("v").agg(F.sum("hangs").alias("hangs"), F.max("holds").alias("holds"))
+    return nodes.where("hangs + holds > 1").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``edges`` (a, b) of any orderable ids -> (node, root), root the smallest of its component.
 
@@ -40,12 +48,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     now = stored(edges.select("a", "b").where("a != b").select(
         F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    seen = None
-    while True:
+    while not _stars(now):
         now = stored(_small(_large(now)), "edges")
-        told = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
-        if tuple(told) == seen:
-            break
-        seen = tuple(told)
     found = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())
