@@ -8,31 +8,33 @@ from pyspark.sql import functions as F
 DRUM_CHANNEL = 9
 
 # The 128 General MIDI programs, in program order.
-PROGRAMS = """Acoustic Grand Piano, Bright Acoustic Piano, Electric Grand Piano, Honky-tonk Piano,
-Electric Piano 1, Electric Piano 2, Harpsichord, Clavinet,
-Celesta, Glockenspiel, Music Box, Vibraphone, Marimba, Xylophone, Tubular Bells, Dulcimer,
-Drawbar Organ, Percussive Organ, Rock Organ, Church Organ,
-Reed Organ, Accordion, Harmonica, Tango Accordion,
-Nylon Guitar, Steel Guitar, Jazz Guitar, Clean Guitar,
-Muted Guitar, Overdriven Guitar, Distortion Guitar, Guitar Harmonics,
-Acoustic Bass, Fingered Bass, Picked Bass, Fretless Bass,
-Slap Bass 1, Slap Bass 2, Synth Bass 1, Synth Bass 2,
-Violin, Viola, Cello, Contrabass, Tremolo Strings, Pizzicato Strings, Orchestral Harp, Timpani,
-String Ensemble 1, String Ensemble 2, Synth Strings 1, Synth Strings 2,
-Choir Aahs, Voice Oohs, Synth Voice, Orchestra Hit,
-Trumpet, Trombone, Tuba, Muted Trumpet, French Horn, Brass Section, Synth Brass 1, Synth Brass 2,
-Soprano Sax, Alto Sax, Tenor Sax, Baritone Sax, Oboe, English Horn, Bassoon, Clarinet,
-Piccolo, Flute, Recorder, Pan Flute, Blown Bottle, Shakuhachi, Whistle, Ocarina,
-Square Lead, Saw Lead, Calliope Lead, Chiff Lead, Charang Lead, Voice Lead, Fifths Lead, Bass + Lead,
-New Age Pad, Warm Pad, Polysynth Pad, Choir Pad, Bowed Pad, Metallic Pad, Halo Pad, Sweep Pad,
-Rain FX, Soundtrack FX, Crystal FX, Atmosphere FX, Brightness FX, Goblins FX, Echoes FX, Sci-fi FX,
-Sitar, Banjo, Shamisen, Koto, Kalimba, Bagpipe, Fiddle, Shanai,
-Tinkle Bell, Agogo, Steel Drums, Woodblock, Taiko Drum, Melodic Tom, Synth Drum, Reverse Cymbal,
-Guitar Fret Noise, Breath Noise, Seashore, Bird Tweet, Telephone Ring, Helicopter, Applause, Gunshot"""
+PROGRAMS = (
+    "Acoustic Grand Piano", "Bright Acoustic Piano", "Electric Grand Piano", "Honky-tonk Piano",
+    "Electric Piano 1", "Electric Piano 2", "Harpsichord", "Clavinet", "Celesta", "Glockenspiel", "Music Box",
+    "Vibraphone", "Marimba", "Xylophone", "Tubular Bells", "Dulcimer", "Drawbar Organ", "Percussive Organ",
+    "Rock Organ", "Church Organ", "Reed Organ", "Accordion", "Harmonica", "Tango Accordion", "Nylon Guitar",
+    "Steel Guitar", "Jazz Guitar", "Clean Guitar", "Muted Guitar", "Overdriven Guitar", "Distortion Guitar",
+    "Guitar Harmonics", "Acoustic Bass", "Fingered Bass", "Picked Bass", "Fretless Bass", "Slap Bass 1",
+    "Slap Bass 2", "Synth Bass 1", "Synth Bass 2", "Violin", "Viola", "Cello", "Contrabass", "Tremolo Strings",
+    "Pizzicato Strings", "Orchestral Harp", "Timpani", "String Ensemble 1", "String Ensemble 2",
+    "Synth Strings 1", "Synth Strings 2", "Choir Aahs", "Voice Oohs", "Synth Voice", "Orchestra Hit",
+    "Trumpet", "Trombone", "Tuba", "Muted Trumpet", "French Horn", "Brass Section", "Synth Brass 1",
+    "Synth Brass 2", "Soprano Sax", "Alto Sax", "Tenor Sax", "Baritone Sax", "Oboe", "English Horn", "Bassoon",
+    "Clarinet", "Piccolo", "Flute", "Recorder", "Pan Flute", "Blown Bottle", "Shakuhachi", "Whistle",
+    "Ocarina", "Square Lead", "Saw Lead", "Calliope Lead", "Chiff Lead", "Charang Lead", "Voice Lead",
+    "Fifths Lead", "Bass + Lead", "New Age Pad", "Warm Pad", "Polysynth Pad", "Choir Pad", "Bowed Pad",
+    "Metallic Pad", "Halo Pad", "Sweep Pad", "Rain FX", "Soundtrack FX", "Crystal FX", "Atmosphere FX",
+    "Brightness FX", "Goblins FX", "Echoes FX", "Sci-fi FX", "Sitar", "Banjo", "Shamisen", "Koto", "Kalimba",
+    "Bagpipe", "Fiddle", "Shanai", "Tinkle Bell", "Agogo", "Steel Drums", "Woodblock", "Taiko Drum",
+    "Melodic Tom", "Synth Drum", "Reverse Cymbal", "Guitar Fret Noise", "Breath Noise", "Seashore",
+    "Bird Tweet", "Telephone Ring", "Helicopter", "Applause", "Gunshot",
+)
 
 # The family of each run of eight programs.
-FAMILIES = ("piano, chromatic percussion, organ, guitar, bass, strings, ensemble, brass, reed, pipe, "
-            "synth lead, synth pad, synth effects, ethnic, percussive, sound effects")
+FAMILIES = (
+    "piano", "chromatic percussion", "organ", "guitar", "bass", "strings", "ensemble", "brass", "reed", "pipe",
+    "synth lead", "synth pad", "synth effects", "ethnic", "percussive", "sound effects",
+)
 
 # Drum keys of each group; every other key is "perc".
 DRUM_KEYS = {
@@ -52,9 +54,7 @@ NOTE_NAMES = ("C", "C#", "D", "D#", "E", "F", "F#", "G", "G#", "A", "A#", "B")
 
 def program_dim(spark: SparkSession) -> DataFrame:
     """(program, program_name, family)."""
-    names = [n.strip() for n in PROGRAMS.replace("\n", " ").split(",")]
-    families = [n.strip() for n in FAMILIES.split(",")]
-    rows = [(i, n, families[i // 8]) for i, n in enumerate(names)]
+    rows = [(i, n, FAMILIES[i // 8]) for i, n in enumerate(PROGRAMS)]
     return spark.createDataFrame(rows, "program bigint, program_name string, family string")
 
 

@@ -70,8 +70,11 @@ def tokenize(texts: DataFrame) -> DataFrame:
 ONES = ("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen "
         "fifteen sixteen seventeen eighteen nineteen").split()
 TENS = "_ _ twenty thirty forty fifty sixty seventy eighty ninety".split()
-SCALES = ((10 ** 15, "quadrillion"), (10 ** 12, "trillion"), (10 ** 9, "billion"),
-          (10 ** 6, "million"), (10 ** 3, "thousand"))
+# Stems of the names of 10**6, 10**9, ... and the parts of later ones.
+ILLION_STEMS = ("m", "b", "tr", "quadr", "quint", "sext", "sept", "oct", "non")
+ILLION_UNITS = ("", "un", "duo", "tre", "quattuor", "quin", "sex", "sept", "octo", "novem")
+ILLION_TENS = ("dec", "vigint", "trigint", "quadragint", "quinquagint", "sexagint", "septuagint",
+               "octogint", "nonagint")
 ORDINALS = {"one": "first", "two": "second", "three": "third", "five": "fifth",
             "eight": "eighth", "nine": "ninth", "twelve": "twelfth"}
 
@@ -94,25 +97,33 @@ def _below_thousand(n: Column) -> Column:
         .otherwise(F.concat(head, F.array(F.lit("and")), _below_hundred(rest)))
 
 
-def say_number(n: Column) -> Column:
-    """Words of a whole number below 10**18: 1105 is one thousand one hundred and five."""
-    n = n.cast("bigint")
+def scale_names() -> list[str]:
+    """Names of the powers of a thousand, from 1 (no name) to centillion."""
+    stems = [*ILLION_STEMS, *(u + t for t in ILLION_TENS for u in ILLION_UNITS), "cent"]
+    return ["", "thousand", *(s + "illion" for s in stems)]
+
+
+def say_number(digits: Column) -> Column:
+    """Words of a whole number written in digits: 1105 is one thousand one hundred and five.
+
+    The digits are taken in groups of three, so any length will do; null beyond
+    the last power of a thousand that has a name.
+    """
+    names = scale_names()
+    plain = F.regexp_replace(digits, r"^0+(?=\d)", "")
+    n = F.ceil(F.length(plain) / 3).cast("int")
+    padded = F.lpad(plain, n * 3, "0")
+    groups = F.transform(F.regexp_extract_all(padded, F.lit(r"(\d{3})"), F.lit(1)), lambda g: g.cast("int"))
     none = F.array().cast("array<string>")
-    said = none
-    for size, name in SCALES:
-        group = _div(n, size) % 1000
-        said = F.concat(said, F.when(group > 0, F.concat(
-            _below_thousand(group), F.array(F.lit(name)))).otherwise(none))
-    rest = n % 1000
-    tail = F.when((n >= 1000) & (rest == 0), none) \
-        .when((n >= 1000) & (rest < 100), F.concat(F.array(F.lit("and")), _below_hundred(rest))) \
-        .otherwise(_below_thousand(rest))
-    return F.concat(said, tail)
-
-
-def _div(n: Column, size: int) -> Column:
-    """Whole-number division that stays exact beyond 2**53."""
-    return ((n - n % size).cast("decimal(20,0)") / F.lit(size)).cast("bigint")
+
+    def said(group: Column, i: Column) -> Column:
+        scaled = F.concat(_below_thousand(group), F.array(F.get(_names(names), n - 1 - i)))
+        last = F.when((n > 1) & (group == 0), none) \
+            .when((n > 1) & (group < 100), F.concat(F.array(F.lit("and")), _below_hundred(group))) \
+            .otherwise(_below_thousand(group))
+        return F.when(i == n - 1, last).when(group > 0, scaled).otherwise(none)
+
+    return F.when(n <= len(names), F.flatten(F.transform(groups, said)))
 
 
 def as_ordinal(words: Column) -> Column:

@@ -276,13 +276,14 @@ def complete_prefix(contexts: DataFrame, vocab: DataFrame, continued: DataFrame,
         .select("ctx_id", "word", "n", "rank")
 
 
-def phrase_takes(index: DataFrame, phrases: DataFrame, longest: int = 4, chunk_ms: int = HOUR_MS) -> DataFrame:
+def phrase_takes(index: DataFrame, phrases: DataFrame, chunk_ms: int = HOUR_MS) -> DataFrame:
     """Clips of a phrase's last word said right after its other words (Q7).
 
-    ``phrases`` is (phrase).  Pauses do not matter here; clips over 40 ms do.
+    ``phrases`` is (phrase), of two words or more.  Pauses do not matter here;
+    clips over 40 ms do.
     """
-    sizes = phrases.select("phrase", F.size(F.split("phrase", " ")).alias("len")).where(
-        F.col("len").between(2, longest)).distinct()
+    sizes = phrases.select("phrase", F.size(F.split("phrase", " ")).alias("len")).where("len > 1").distinct()
+    longest = max(2, sizes.agg(F.max("len")).first()[0] or 0)
     g = _grams(index, longest - 1, chunk_ms)
     said = g.select("source_id", "nxt", "word", F.explode(F.sequence(F.lit(1), F.greatest(
         F.lit(1), F.size("nxt")))).alias("k")).where(F.size("nxt") >= F.col("k"))

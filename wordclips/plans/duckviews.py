@@ -17,7 +17,7 @@ VIEWS: dict[str, tuple[str, str]] = {
     "sources": ("", f"""SELECT lang AS corpus, doc_id AS source_id, 'vid' || doc_id AS video_id,
         'downloads/' || source || '/' || doc_id || '.mp4' AS source_file,
         CAST(len({_WORDS}) * 400 + 1000 AS BIGINT) AS duration_ms FROM documents"""),
-    "clips": ("tok", """SELECT lang AS corpus, doc_id AS source_id, doc_id * 100000 + i AS clip_id, word,
+    "clips": ("tok", """SELECT lang AS corpus, doc_id AS source_id, doc_id * 2147483648 + i AS clip_id, word,
         i * 400 + ((doc_id * 7 + i * 13) % 10) * 20 + CASE WHEN (i + doc_id) % 17 = 0 THEN 250 ELSE 0 END AS start_ms,
         i * 400 + ((doc_id * 7 + i * 13) % 10) * 20 + 120 + length(word) * 35 AS end_ms,
         'downloads/' || source || '/' || doc_id || '.mp4' AS source_file,
@@ -45,7 +45,7 @@ VIEWS: dict[str, tuple[str, str]] = {
     "captions": ("clips", """SELECT * FROM (SELECT source_id, tok, CASE WHEN tok % 13 = 5 THEN reverse(word) ELSE word END AS word,
         start_ms + ((source_id * 3 + tok * 7) % 9 - 4) * 90 AS t_ms FROM clips
         WHERE tok % 11 <> 3) WHERE t_ms >= 0"""),
-    "texts": ("", "SELECT conv_id * 1000 + turn AS text_id, text FROM conversations"),
+    "texts": ("", "SELECT conv_id * 2147483648 + turn AS text_id, text FROM conversations"),
     "tokens": ("texts", r"""SELECT text_id, CAST(row_number() OVER w - 1 AS BIGINT) AS pos, word,
         ends OR lead(word) OVER w IS NULL AS ends FROM (
           SELECT text_id, k, """ + _CLEAN.format("raw") + r""" AS word,

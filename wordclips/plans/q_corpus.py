@@ -10,6 +10,7 @@ from wordclips.functions import text as TX
 from wordclips.operators import reconcile as RC
 from wordclips.operators import windows as WN
 from wordclips.plans.catalog import query
+from wordclips.plans.tables import PLACES
 from wordclips.session import cut_lineage
 from wordclips.sources import corpus as CO
 from wordclips.sources import readers as RD
@@ -168,12 +169,12 @@ def _(t):
     return s.groupBy("source_id").agg(F.coalesce(F.sum(((end > F.greatest(F.lit(0), "n_on")) & F.col("n_on").isNotNull()).cast("bigint")), F.lit(0)).alias("crossings"))
 
 
-@query("C9_spread_words", "clips", """WITH g AS (SELECT source_id * 10000 + tok // 4 AS group_id, tok AS j, word, min(start_ms) OVER p AS lo_ms, max(end_ms) OVER p AS hi_ms FROM clips
+@query("C9_spread_words", "clips", """WITH g AS (SELECT source_id * 2147483648 + tok // 4 AS group_id, tok AS j, word, min(start_ms) OVER p AS lo_ms, max(end_ms) OVER p AS hi_ms FROM clips
       WINDOW p AS (PARTITION BY source_id, tok // 4)),
     s AS (SELECT *, greatest(hi_ms, lo_ms + count(*) OVER (PARTITION BY group_id)) AS hi, sum(length(word)) OVER (PARTITION BY group_id ORDER BY j) AS upto, sum(length(word)) OVER (PARTITION BY group_id) AS al FROM g)
     SELECT group_id, j, word, CAST(lo_ms + (hi - lo_ms) * (upto - length(word)) // al AS BIGINT) AS start_ms, CAST(lo_ms + (hi - lo_ms) * upto // al AS BIGINT) AS end_ms FROM s""")
 def _(t):
-    g = t.clips.withColumn("group_id", F.col("source_id") * 10000 + F.floor(F.col("tok") / 4))
+    g = t.clips.withColumn("group_id", F.col("source_id") * PLACES + F.floor(F.col("tok") / 4))
     ends = g.groupBy("group_id").agg(F.min("start_ms").alias("lo_ms"), F.max("end_ms").alias("hi_ms"))
     return WN.spread_words(g.select("group_id", F.col("tok").alias("j"), "word").join(ends, "group_id")).select("group_id", "j", "word", "start_ms", "end_ms")
 

@@ -10,6 +10,7 @@ from wordclips.operators import feedback as FB
 from wordclips.operators import jobs as JB
 from wordclips.operators import takes as TK
 from wordclips.plans.catalog import query
+from wordclips.plans.tables import PLACES
 
 _OUTSIDE = """coalesce(list_min(list_transform(phones, lambda p: p.start_ms)) < -60
     OR list_max(list_transform(phones, lambda p: p.end_ms)) > end_ms - start_ms + 60, false)"""
@@ -80,7 +81,7 @@ def _(t):
 
 @query("J7_verify_captions", "clips captions", """
     WITH seq AS (SELECT *, max(end_ms) OVER (PARTITION BY source_id ORDER BY start_ms, clip_id) AS reach FROM clips),
-    c AS (SELECT *, source_id * 100000 + tok AS cap_id FROM captions),
+    c AS (SELECT *, source_id * 2147483648 + tok AS cap_id FROM captions),
     win AS (SELECT cap_id, t_ms, c.word AS cap, s.word AS w, s.start_ms, s.clip_id FROM c JOIN seq s ON s.source_id = c.source_id
       AND s.start_ms <= t_ms + 600 AND s.reach >= t_ms - 600),
     near AS (SELECT *, row_number() OVER (PARTITION BY cap_id ORDER BY abs(start_ms - t_ms), start_ms, clip_id) AS r,
@@ -90,12 +91,12 @@ def _(t):
       CASE WHEN NOT same AND abs(start_ms - c.t_ms) <= 250 THEN w END AS clip_word
     FROM c LEFT JOIN near ON near.cap_id = c.cap_id AND r = 1""")
 def j7(t):
-    caps = t.captions.withColumn("cap_id", F.col("source_id") * 100000 + F.col("tok")).drop("tok")
+    caps = t.captions.withColumn("cap_id", F.col("source_id") * PLACES + F.col("tok")).drop("tok")
     return CA.verify_captions(caps, t.clips)
 
 
 _CHECKED = """seq AS (SELECT *, max(end_ms) OVER (PARTITION BY source_id ORDER BY start_ms, clip_id) AS reach FROM clips),
-    c AS (SELECT *, source_id * 100000 + tok AS cap_id FROM captions),
+    c AS (SELECT *, source_id * 2147483648 + tok AS cap_id FROM captions),
     win AS (SELECT cap_id, t_ms, c.word AS cap, s.word AS w, s.start_ms, s.clip_id FROM c JOIN seq s ON s.source_id = c.source_id
       AND s.start_ms <= t_ms + 600 AND s.reach >= t_ms - 600),
     near AS (SELECT *, row_number() OVER (PARTITION BY cap_id ORDER BY abs(start_ms - t_ms), start_ms, clip_id) AS r,

@@ -143,8 +143,8 @@ _SCORE = f"""CASE role WHEN 'drums:kick' THEN 2.5 * ({_b('lf', '0.45::DOUBLE', 1
     ELSE CASE WHEN f0 IS NULL THEN -5 ELSE 2.5 * voiced + 1.5 * greatest(0, 1 - stability / 150) + ({_b('dur', 0.25, '0.8::DOUBLE', 0.3)})
       + CASE WHEN role = 'bass' THEN 0.5 * ({_b('f0', 60.0, 150.0, 80)}) ELSE 0 END END END"""
 _DIM = "dim(role, place, kind, name) AS (VALUES " + ",".join(
-    [f"('{r}',{i},'unit','/{u}/')" for r in SN.PREFERRED for i, u in enumerate(SN.SOUNDS[r].split())]
-    + [f"('{r}',{100 + i},'word','{w}')" for r in SN.PREFERRED for i, w in enumerate(SN.PREFERRED[r].split())]) + ")"
+    [f"('{r}',{i},'unit','{u}')" for r in SN.PREFERRED for i, u in enumerate(SN.SOUNDS[r])]
+    + [f"('{r}',{100 + i},'word','{w}')" for r in SN.PREFERRED for i, w in enumerate(SN.PREFERRED[r])]) + ")"
 _CANDS = f"""{_DIM}, u AS (SELECT '/' || lower(phone) || '/' AS name FROM (SELECT unnest(phones).phone AS phone FROM aligned WHERE phones IS NOT NULL) GROUP BY phone HAVING count(*) >= 3),
     nz AS (SELECT '*' || word || '*' AS name, dense_rank() OVER (ORDER BY n DESC, word) AS r FROM (SELECT word, count(*) AS n FROM noises GROUP BY 1)),
     asked AS (SELECT DISTINCT role FROM dim),

@@ -16,6 +16,9 @@ from wordclips.functions import text as TX
 from wordclips.operators import index as IX
 from wordclips.operators import phrases as PR
 
+# Ids made of two numbers: the second stays below this, whatever the length of a text.
+PLACES = 2**31
+
 # One phone per letter, a to z, for the derived lexicon.
 LETTER_PHONES = ("AE B K D EH F G HH IH JH K L M N AA P K R S T AH V W K IY Z").split()
 
@@ -45,13 +48,14 @@ class Tables:
 
     @cached_property
     def documents(self) -> DataFrame:
-        """The documents, spread out where their files give fewer tasks than there are cores.
+        """The documents, dealt out by id if the session asks for it.
 
-        Many files, as at scale, are read as they are.
+        ``spark.wordclips.deal`` is for a few files without splits on a machine
+        with many cores; a corpus of many files is read as it is.
         """
         d = self.read("documents").select("doc_id", "text", "lang", "source")
-        cores = self.spark.sparkContext.defaultParallelism
-        return d.repartition(cores, "doc_id") if len(d.inputFiles()) * 2 < cores else d
+        parts = self.spark.conf.get("spark.wordclips.deal", None)
+        return d.repartition(int(parts), "doc_id") if parts else d
 
     @cached_property
     def sources(self) -> DataFrame:
@@ -71,7 +75,7 @@ class Tables:
         base = i * 400 + ((F.col("doc_id") * 7 + i * 13) % 10) * 20
         return t.select(
             F.col("lang").alias("corpus"), F.col("doc_id").alias("source_id"),
-            (F.col("doc_id") * 100000 + i).alias("clip_id"), "word",
+            (F.col("doc_id") * PLACES + i).alias("clip_id"), "word",
             (base + F.when((i + F.col("doc_id")) % 17 == 0, 250).otherwise(0)).alias("start_ms"),
             (base + 120 + F.length("word") * 35).alias("end_ms"),
             F.concat(F.lit("downloads/"), "source", F.lit("/"), "doc_id", F.lit(".mp4"))
@@ -138,7 +142,7 @@ class Tables:
     def texts(self) -> DataFrame:
         """(text_id, text) of every conversation turn."""
         return self.read("conversations").select(
-            (F.col("conv_id") * 1000 + F.col("turn")).alias("text_id"), "text")
+            (F.col("conv_id") * PLACES + F.col("turn")).alias("text_id"), "text")
 
     @cached_property
     def tokens(self) -> DataFrame:

@@ -21,6 +21,7 @@ def build_session(app: str = "wordclips", cores: str | int = "*", **conf: str) -
         .config("spark.sql.shuffle.partitions", conf.pop("shuffle_partitions", "8"))
         .config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "12g"))
         .config("spark.ui.enabled", "false")
+        .config("spark.wordclips.deal", "8" if cores == "*" else str(cores))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
     for key, value in conf.items():

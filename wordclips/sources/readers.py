@@ -73,7 +73,7 @@ def parse_wiki_sections(pages: DataFrame) -> DataFrame:
     """(page_id, k, title, body) of each ``==title==`` section, markup taken off."""
     head = r"(?m)^==(?!=)[ \t]*(.+?)(?<!=)==[ \t]*$"
     marked = F.regexp_replace("text", head, "\u0001$1\u0002")
-    parts = F.slice(F.split(marked, "\u0001"), 2, 1_000_000_000)
+    parts = F.slice(F.split(marked, "\u0001"), F.lit(2), F.size(F.split(marked, "\u0001")))
     p = pages.select("page_id", F.posexplode(parts).alias("k", "part"))
     body = F.element_at(F.split("part", "\u0002", 2), -1)
     for pattern, new in ((r"(?m)^=+.*?=+[ \t]*$", ""), (r"\[\[[^\]|]*\|([^\]]*)\]\]", "$1"), (r"\[\[([^\]]*)\]\]", "$1"),
