@@ -13,7 +13,8 @@ import time
 HEADLINE = [
     "M1_pair_notes", "A10_weighted_median", "A11_polyphony", "A12_part_summary", "A13_detect_key", "J10_notes_in_range",
     "R8_stride_sample", "M12_ride_gain", "C1_build_index", "C3_bleed_risk", "J1_source_summary", "A2_diagnostics_summary",
-    "S8_effective_lexicon", "A21_coverage_report",
+    "S8_effective_lexicon", "S3_load_lexicon", "A21_coverage_report", "C6_transcript_gaps", "J7_verify_captions", "R5_best_takes",
+    "Q2_best_run", "Q8_ngram_counts", "F5_splice_edges", "T5_apply_edits",
 ]
 
 

@@ -1,10 +1,13 @@
 """Inputs beyond the limits that operators once had."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tests.test_words import lex
 from wordclips.functions import text as TX
 from wordclips.operators import lexicon as LX
+from wordclips.operators import reconcile as RC
+from wordclips.operators import windows as WN
 
 
 def _said(spark, *digits):
@@ -48,3 +51,37 @@ def test_respellings_in_long_chains(spark):
     words = {r.word: " ".join(r.phones) for r in got.collect()}
     assert all(words[f"w{c}"] == "K AE T" for c in "bcdefgh") and words["wa"] == words["again"] == "D AO G"
     assert {r.word for r in rejected.collect()} == {"early", "two", "three"}
+
+
+def _walk_window(start, end, i):
+    """The rule step by step: from the first end past 20 s, the widest gap before an end past 30 s."""
+    j = i + 1
+    while j < len(start) and end[j] - start[i] < 20_000:
+        j += 1
+    best = (None, j)
+    for k in range(j, len(start)):
+        if end[k] - start[i] >= 30_000:
+            break
+        gap = start[k] - end[k - 1]
+        if best[0] is None or gap > best[0]:
+            best = (gap, k)
+    return best[1]
+
+
+def test_windows_on_arrays_follow_the_rule():
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        start = np.sort(rng.integers(0, 120_000, rng.integers(1, 200)))
+        end = start + rng.integers(1, 9_000, len(start))
+        for i in range(len(start)):
+            assert WN._next_window(start, end, i) == _walk_window(start, end, i)
+            later = [j for j in range(i + 1, len(start)) if end[j] - start[i] > 40_000]
+            assert WN._next_group(start, end, i) == (later[0] if later else len(start))
+
+
+def test_titles_that_contain_one_another(spark):
+    titles = spark.createDataFrame([(1, "harrybo"), (2, "big harrybos grandads house"), (3, "ox"), (4, "nothing alike"), (5, "")], "doc_id int, norm string")
+    pages = spark.createDataFrame([("Harrybos Grandad", "harrybos grandad"), ("Foxes", "foxes"), ("None", "")], "title string, norm string")
+    got = {r["doc_id"]: (r["title"], r["score"]) for r in RC.match_titles(titles, pages).collect()}
+    assert got[1] == ("Harrybos Grandad", 0.9) and got[2] == ("Harrybos Grandad", 0.9) and got[3] == ("Foxes", 0.9)
+    assert set(got) == {1, 2, 3}

@@ -74,11 +74,6 @@ def _(t):
     return CO.validate_schema(t.aligned, T.StructType.fromDDL(schemas.TABLES["clips"]), ["clip_id", "source_id", "word", "phones"])
 
 
-@query("S7_inventory")
-def _(t):
-    return CO.inventory(t.spark, t.folder)
-
-
 @query("S9_note_events", "notes", "SELECT song_id, channel, count(*) AS events, CAST(sum(start_ms) AS BIGINT) AS ticks FROM notes GROUP BY 1, 2")
 def _(t):
     import uuid
@@ -346,7 +341,7 @@ _NORM = r"array_to_string(list_filter(regexp_split_to_array(trim(regexp_replace(
     p AS (SELECT norm, min(title) AS title FROM (SELECT title, {_NORM.format('title')} AS norm FROM p0) WHERE norm <> '' GROUP BY 1),
     a AS (SELECT DISTINCT norm FROM d WHERE norm <> ''),
     x AS (SELECT a.norm AS an, p.norm AS pn, title, 1 - levenshtein(a.norm, p.norm) / greatest(length(a.norm), length(p.norm)) AS l FROM a JOIN p
-      ON list_has_any(string_split(a.norm, ' '), string_split(p.norm, ' '))),
+      ON list_has_any(string_split(a.norm, ' '), string_split(p.norm, ' ')) OR contains(a.norm, p.norm) OR contains(p.norm, a.norm)),
     s AS (SELECT an, pn, title, round(CASE WHEN contains(an, pn) OR contains(pn, an) THEN greatest(l, 0.9::DOUBLE) ELSE l END, 6) AS score FROM x),
     b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY an ORDER BY score DESC, pn) AS r FROM s) WHERE r = 1)
     SELECT doc_id, title, score FROM d JOIN b ON b.an = d.norm""")
