@@ -124,13 +124,21 @@ def build_parts(notes: DataFrame, programs: DataFrame) -> DataFrame:
 
 # --- part statistics ---------------------------------------------------------------
 
+def _summed_up_to(per: DataFrame) -> DataFrame:
+    """Adds to (part, pitch, d) the sum of ``d`` up to the pitch and of the whole part."""
+    w = Window.partitionBy(*PART)
+    return per.withColumns({"acc": F.sum("d").over(w.orderBy("pitch").rowsBetween(Window.unboundedPreceding, 0)),
+                            "total": F.sum("d").over(w)})
+
+
+def _median() -> Column:
+    return F.min(F.when(F.col("acc") * 2 >= F.col("total"), F.col("pitch"))).alias("median_pitch")
+
+
 def weighted_median(notes: DataFrame) -> DataFrame:
     """The pitch each part sits on, weighted by how long notes last (A10)."""
     per = notes.groupBy(*PART, "pitch").agg(F.sum("dur_ms").alias("d"))
-    w = Window.partitionBy(*PART)
-    cum = per.withColumns({"acc": F.sum("d").over(w.orderBy("pitch").rowsBetween(Window.unboundedPreceding, 0)),
-                           "total": F.sum("d").over(w)})
-    return cum.where(F.col("acc") * 2 >= F.col("total")).groupBy(*PART).agg(F.min("pitch").alias("median_pitch"))
+    return _summed_up_to(per).groupBy(*PART).agg(_median())
 
 
 def polyphony(notes: DataFrame) -> DataFrame:
@@ -151,11 +159,12 @@ def polyphony(notes: DataFrame) -> DataFrame:
 
 def part_summary(notes: DataFrame, pans: DataFrame | None = None) -> DataFrame:
     """One row per part: size, range, usual and median pitch, polyphony, onset."""
-    per = notes.groupBy(*PART, "pitch").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("start_ms", "dur_ms")).alias("first"))
+    per = _summed_up_to(notes.groupBy(*PART, "pitch").agg(
+        F.count(F.lit(1)).alias("c"), F.min(F.struct("start_ms", "dur_ms")).alias("first"), F.sum("dur_ms").alias("d")))
     usual = F.max_by("pitch", F.struct(F.col("c"), -F.col("first.start_ms"), -F.col("first.dur_ms"), -F.col("pitch")))
     s = per.groupBy(*PART).agg(F.sum("c").alias("notes"), F.min("pitch").alias("low"), F.max("pitch").alias("high"),
-                               usual.alias("common_pitch"), F.min("first.start_ms").alias("first_ms"))
-    s = s.join(weighted_median(notes), PART).join(polyphony(notes), PART)
+                               usual.alias("common_pitch"), F.min("first.start_ms").alias("first_ms"), _median())
+    s = s.join(polyphony(notes), PART)
     if pans is not None:
         s = s.join(pans.select(*PART, F.round("pan", 2).alias("pan")), PART, "left")
     return s.withColumns({"low_name": MU.note_name(F.col("low")), "high_name": MU.note_name(F.col("high"))})
