@@ -93,7 +93,17 @@ def wiki(t):
     return t.read("documents").select(F.col("doc_id").alias("page_id"), F.concat(F.lit("intro\n==First==\n"), body).alias("text"))
 
 
-@query("S10_wiki_sections")
+_MARKUP = ((r"(?m)^=+.*?=+[ \t]*$", ""), (r"\[\[[^\]|]*\|([^\]]*)\]\]", r"\1"), (r"\[\[([^\]]*)\]\]", r"\1"), (r"\{\{[^}]*\}\}", " "),
+           ("<[^>]+>", " "), ("''''''", ""), ("''''", ""), (r"[ \t]+", " "), (r"^\s+|\s+$", ""))
+_BODY = "CASE WHEN k = 0 THEN line ELSE '[[a|b]] {{x}} ''''' || line END"
+for _pattern, _new in _MARKUP:
+    _BODY = f"regexp_replace({_BODY}, '{_pattern}', '{_new}', 'g')"
+
+
+@query("S10_wiki_sections", "", f"""WITH l AS (SELECT doc_id AS page_id, unnest(string_split(text, chr(10))) AS line,
+      generate_subscripts(string_split(text, chr(10)), 1) - 1 AS k FROM documents),
+    b AS (SELECT page_id, CAST(k AS INTEGER) AS k, CASE WHEN k = 0 THEN 'First' ELSE 'Part' END AS title, {_BODY} AS body FROM l)
+    SELECT page_id, k, title, body FROM b WHERE body <> ''""")
 def _(t):
     return RD.parse_wiki_sections(wiki(t))
 

@@ -234,13 +234,26 @@ def pronunciation_files(t):
     return words.where(F.length("word") % 4 == 0).select(F.lit(1).alias("layer"), "line", "word", arpa.alias("value"))
 
 
-@query("S3_load_lexicon")
+_LETTERS = "MAP {" + ", ".join(f"'{c}': ['" + "','".join(v) + "']" for c, v in LX.LETTER_NAMES.items()) + "}"
+_FILES_READ = f"""over AS (SELECT word, ['AH'] AS phones FROM lexicon WHERE length(word) % 5 = 1),
+    low AS (SELECT word, coalesce(over.phones, lexicon.phones) AS phones FROM lexicon LEFT JOIN over USING (word)),
+    f AS (SELECT word, min(clip_id) AS line FROM clips WHERE regexp_full_match(word, '[a-z]+') GROUP BY 1 HAVING length(word) % 4 = 0),
+    v AS (SELECT f.*, low.word AS start, CASE line % 5
+      WHEN 0 THEN flatten(list_transform(string_split(f.word, ''), lambda c: {_LETTERS}[c]))
+      WHEN 2 THEN ['HH','AH','L','OW'] WHEN 3 THEN list_concat(low.phones, ['T']) END AS phones,
+      line % 5 < 3 OR line % 5 = 3 AND low.word IS NOT NULL AS good
+      FROM f LEFT JOIN low ON low.word = substring(f.word, 1, 3))"""
+
+
+@query("S3_load_lexicon", "clips lexicon", f"""WITH {_FILES_READ}
+    SELECT word, phones FROM v WHERE good UNION ALL SELECT word, phones FROM low WHERE word NOT IN (SELECT word FROM v WHERE good)""")
 def _(t):
     none = t.lexicon.where(F.length("word") % 5 == 1).select("word", F.array(F.lit("AH")).alias("phones"))
     return LX.load_lexicon(t.lexicon, none, pronunciation_files(t))[0]
 
 
-@query("S3_rejected_rows")
+@query("S3_rejected_rows", "clips lexicon", f"""WITH {_FILES_READ}
+    SELECT CAST(1 AS INTEGER) AS layer, line, word, CASE line % 5 WHEN 3 THEN substring(word, 1, 3) || ' t' ELSE '!!' END AS value FROM v WHERE NOT good""")
 def _(t):
     none = t.lexicon.where(F.length("word") % 5 == 1).select("word", F.array(F.lit("AH")).alias("phones"))
     return LX.load_lexicon(t.lexicon, none, pronunciation_files(t))[1]
