@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wordclips.llm import langid, quality, urls
+from wordclips.llm.sampling import per_label
 
 KIND = "doc_id bigint, text string, lang string, source string, score string"
 
@@ -168,3 +169,12 @@ def test_threshold_and_small_tables(spark):
     assert urls.judge(_pages(spark, [])).count() == 0
     got = urls.judge(_pages(spark, ["http://a.com/" + "x" * 100_000, "http://a.com/y", "http://a.com/y"])).collect()
     assert len(got) == 3 and {r["verdict"] for r in got} == {"allow"}
+
+
+def test_samples_are_bounded_and_repeatable(spark):
+    rows = spark.createDataFrame([(i, "ab"[i % 10 == 0], f"t{i % 50}") for i in range(4000)] + [(5, None, "x")], "doc_id int, lang string, text string")
+    one, two = (sorted(map(tuple, per_label(rows, "lang", 100, ["doc_id", "text"]).collect())) for _ in range(2))
+    assert one == two and [sum(r[1] == k for r in one) for k in "ab"] == [100, 100]
+    few = per_label(rows, "lang", 10_000, ["doc_id", "text"])
+    assert few.count() == 4000 and few.columns == rows.columns
+    assert per_label(rows.limit(0), "lang", 5, ["doc_id"]).count() == 0

@@ -13,11 +13,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wordclips.llm import arrays
 from wordclips.llm.catalog import query, table
+from wordclips.llm.sampling import per_label
 from wordclips.llm.text import whole
 
 #: Bytes in a window, filter widths, filters of each width.
@@ -155,16 +156,15 @@ def _sample_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def fit(labelled: DataFrame, per_language: int = DOCUMENTS) -> Network | None:
-    """Train on at most ``per_language`` documents of each language, chosen by hash of the text.
+    """Train on at most ``per_language`` documents of each language, chosen by hash of id and text.
 
-    ``labelled`` has text and lang; rows without either, or without a letter,
+    ``labelled`` has doc_id, text and lang; rows without either, or without a letter,
     teach nothing.  WINDOWS evenly spaced windows of each document are used, from
     its start to its end.  None where nothing is labelled.
     """
     able = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    turn = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text"))
-    sample = able.select("lang", F.lower("text").alias("text")).withColumn("turn", turn) \
-        .where(F.col("turn") <= per_language).select("lang", "text")
+    sample = per_label(able.select("doc_id", "lang", "text"), "lang", per_language, ["doc_id", "text"]).select(
+        "lang", F.lower("text").alias("text"))
     got = sample.mapInArrow(_sample_windows, "lang string, window binary").collect()
     if not got:
         return None

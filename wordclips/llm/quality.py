@@ -15,14 +15,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wordclips.llm import arrays
 from wordclips.llm.catalog import query, table
+from wordclips.llm.sampling import per_label
 from wordclips.llm.text import text_key, whole
 
-#: Bounds of the labelled sample: documents per label, bytes read at its driver side in one go.
+#: Bound of the labelled sample: documents per label.
 PER_LABEL = 1500
 RANK, NEIGHBOURS, POWER = 48, 25, 8
 CUT = 0.3
@@ -132,15 +133,14 @@ def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([batch.column("quality"), pa.array(made, pa.binary())], names=["quality", "counts"])
 
 
-def fit(labelled: DataFrame, per_label: int = PER_LABEL, rank: int = RANK) -> Voters | None:
-    """Vectors of at most ``per_label`` documents of each label, chosen by hash of the text.
+def fit(labelled: DataFrame, most: int = PER_LABEL, rank: int = RANK) -> Voters | None:
+    """Vectors of at most ``most`` documents of each label, chosen by hash of id and text.
 
-    ``labelled`` has text and quality (0 or 1; null teaches nothing).  Only term
+    ``labelled`` has doc_id, text and quality (0 or 1; null teaches nothing).  Only term
     counts come to the driver, 20 kB a document.  None where nothing is labelled.
     """
-    able = labelled.where(F.col("quality").isin(0, 1)).select(F.col("quality").cast("int").alias("quality"), whole("text").alias("text"))
-    turn = F.row_number().over(Window.partitionBy("quality").orderBy("key"))
-    chosen = able.withColumn("key", text_key("text")).withColumn("turn", turn).where(F.col("turn") <= per_label)
+    able = labelled.where(F.col("quality").isin(0, 1)).select("doc_id", F.col("quality").cast("int").alias("quality"), whole("text").alias("text"))
+    chosen = per_label(able.withColumn("key", text_key("text")), "quality", most, ["doc_id", "key"])
     got = chosen.select("quality", "text").mapInArrow(_count_rows, "quality int, counts binary").collect()
     if not got:
         return None
