@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,7 +40,9 @@ GRAM = 16
 WIDTHS = (16, 1)
 _STEP = 1 << 20
 
-_RANGES = "key long, lo int, hi int, ahead int, name long, stretch long, settled boolean"
+#: place: first position, one less than the number of positions, and distance from the
+#: first position to the anchor, in one number (see _packed).
+_RANGES = "key long, place long, name long, stretch long, settled boolean"
 
 
 def _window(size: int) -> int:
@@ -107,11 +110,21 @@ def cut_ranges(data: np.ndarray, lo: np.ndarray, hi: np.ndarray, ahead: np.ndarr
             _whole(h, new_lo - base, new_hi - base, a - new_lo, size), settled[of])
 
 
+def _packed(lo: np.ndarray, hi: np.ndarray, ahead: np.ndarray) -> np.ndarray:
+    """Position 32 bits, width and distance 16 each: a window is at most a few hundred positions."""
+    return (lo.astype(np.int64) << 32) | ((hi - lo).astype(np.int64) << 16) | ahead.astype(np.int64)
+
+
+def _unpacked(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    lo = place >> 32
+    return lo, lo + ((place >> 16) & 0xFFFF), place & 0xFFFF
+
+
 def _record(keys, lo, hi, ahead, name, stretch, settled) -> pa.RecordBatch:
     return pa.record_batch([
-        pa.array(keys, pa.int64()), pa.array(lo, pa.int32()), pa.array(hi, pa.int32()), pa.array(ahead, pa.int32()),
-        pa.array(name.view(np.int64)), pa.array(stretch.view(np.int64)), pa.array(settled)],
-        names=["key", "lo", "hi", "ahead", "name", "stretch", "settled"])
+        pa.array(keys, pa.int64()), pa.array(_packed(lo, hi, ahead)), pa.array(name.view(np.int64)),
+        pa.array(stretch.view(np.int64)), pa.array(settled)],
+        names=["key", "place", "name", "stretch", "settled"])
 
 
 def _lots(rows, most: int = 1 << 16) -> Iterator[pa.RecordBatch]:
@@ -148,19 +161,20 @@ def _shorter(size: int, width: int, together: int = 1 << 20):
     def rows(batches):
         for batch in batches:
             keys = batch.column("key").to_numpy(zero_copy_only=False)
-            asked = batch.column("ranges").to_pylist()
-            for key, data, ranges in zip(keys, arrays.texts(batch.column("text")), asked, strict=True):
-                ranges.sort(key=lambda r: r["lo"])
+            ranges = batch.column("ranges")
+            cuts = ranges.offsets.to_numpy()
+            place, name, settled = (pa.compute.struct_field(ranges.values, f).to_numpy(zero_copy_only=False)
+                                    for f in ("place", "name", "settled"))
+            for i, (key, data) in enumerate(zip(keys, arrays.texts(batch.column("text")), strict=True)):
+                mine = np.arange(cuts[i], cuts[i + 1])
+                mine = mine[np.argsort(place[mine], kind="stable")]
+                lo, hi, ahead = _unpacked(place[mine])
                 at = 0
-                while at < len(ranges):
-                    end = at + 1            # neighbours within a megabyte are hashed in one go
-                    while end < len(ranges) and ranges[end]["hi"] - ranges[at]["lo"] < together:
-                        end += 1
-                    lot = ranges[at:end]
-                    lo, hi, ahead = (np.array([r[c] for r in lot], dtype=np.int64) for c in ("lo", "hi", "ahead"))
-                    name = np.array([r["name"] for r in lot], dtype=np.int64).view(np.uint64)
-                    settled = np.array([r["settled"] for r in lot])
-                    yield key, cut_ranges(data, lo, hi, ahead, name, settled, size, width)
+                while at < len(mine):       # neighbours within a megabyte are hashed in one go
+                    end = at + max(1, int(np.searchsorted(lo[at:], lo[at] + together)))
+                    part = slice(at, end)
+                    yield key, cut_ranges(data, lo[part], hi[part], ahead[part], name[mine[part]].view(np.uint64),
+                                          settled[mine[part]], size, width)
                     at = end
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,21 +184,38 @@ def _shorter(size: int, width: int, together: int = 1 << 20):
     return work
 
 
+def _whole_rows(rows: DataFrame) -> DataFrame:
+    return rows.where("key IS NOT NULL AND place IS NOT NULL AND name IS NOT NULL AND stretch IS NOT NULL")
+
+
+def _past(live: DataFrame, one: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(how often each stretch is held, spans of those past the threshold).
+
+    Where ranges go on (``one``), all uses of ``live`` and of what is held ask for
+    the same columns and rows, so that one shuffle of each serves them.
+    """
+    first = [F.min(F.struct("key", "place")).alias("one")] if one else []
+    held = live.groupBy("name", "stretch").agg(
+        F.count(F.lit(1)).alias("n"), F.bool_or("settled").alias("done"), *first)
+    held = held.where("one IS NOT NULL") if one else held
+    past = held.where("n > 1 OR done").select("name", "stretch", "n")
+    if not one:
+        return held, live.where("NOT settled").join(past, ["name", "stretch"], "left_semi").select("key", "place")
+    fresh = F.when(F.col("n") > 0, ~F.col("settled"))       # asked after the join, as n is part of it
+    return held, live.join(past, ["name", "stretch"]).where(fresh).select("key", "place")
+
+
 def _round(rows: DataFrame, keep: bool = False) -> tuple[DataFrame, DataFrame]:
     """One round of ranking -> (spans past the threshold, ranges to cut and rank again).
 
     Only counts per rank are grouped, combined before they are shuffled; rows
     meet them in equi-joins, which can be split where one rank is very common.
     """
+    rows = _whole_rows(rows)
     shared = rows.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.bool_and("settled").alias("done")) \
         .where("n > 1 AND NOT done").select("name")
     live = rows.join(shared, "name", "left_semi")
-    live = stored(live, "ranges") if keep else live
-    held = live.groupBy("name", "stretch").agg(
-        F.count(F.lit(1)).alias("n"), F.bool_or("settled").alias("done"),
-        F.min(F.struct("key", "lo", "hi", "ahead")).alias("one"))
-    past = held.where("n > 1 OR done").select("name", "stretch")
-    spans = live.where("NOT settled").join(past, ["name", "stretch"], "left_semi").select("key", "lo", "hi")
+    held, spans = _past(_whole_rows(stored(live, "ranges")) if keep else live)
     alone = held.where("n = 1 AND NOT done").select("name").distinct()
     again = held.join(alone, "name", "left_semi").select(
         "one.*", "name", (F.col("done") | (F.col("n") > 1)).alias("settled"))
@@ -201,10 +232,11 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def repeated(texts: DataFrame, size: int = SIZE) -> DataFrame:
-    """Positions at which a repeated string of ``size`` bytes starts: key, lo, hi (both included).
+    """Positions at which a repeated string of ``size`` bytes starts: key, place.
 
     ``texts`` is that of ``_texts``; rows with equal keys have equal texts, and
-    one of them answers for all where ranges are cut.
+    one of them answers for all where ranges are cut.  Every round joins all of
+    its columns, so Spark shuffles the texts once for all rounds.
     """
     if size < 2 * GRAM:
         raise ValueError(f"size must be at least {2 * GRAM}")
@@ -212,38 +244,52 @@ def repeated(texts: DataFrame, size: int = SIZE) -> DataFrame:
     spans, again = _round(first, keep=True)
     speaker = texts.groupBy("key").agg(F.min("copy").alias("copy"))
     for width in WIDTHS:
-        ranges = again.groupBy("key").agg(F.collect_list(F.struct("lo", "hi", "ahead", "name", "settled")).alias("ranges"))
-        rows = texts.join(ranges.join(speaker, "key"), ["key", "copy"])
-        more, again = _round(rows.mapInArrow(_shorter(size, width), _RANGES))
+        ranges = again.groupBy("key").agg(F.collect_list(F.struct("place", "name", "settled")).alias("ranges"))
+        rows = texts.join(ranges.join(speaker, "key"), ["key", "copy"]).mapInArrow(_shorter(size, width), _RANGES)
+        if width == 1:                      # what all strings of a range share is the string
+            more = _past(_whole_rows(rows), one=False)[1]
+        else:
+            more, again = _round(rows)
         spans = spans.unionByName(more)
     return spans
 
 
-def _removed(size: int):
+def _merged(size: int):
+    """Bytes covered by each text's spans, as starts and ends of maximal runs."""
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            total, gone, runs, kept = [], [], [], []
-            for data, spans in zip(arrays.texts(batch.column("text")), batch.column("spans").to_pylist(), strict=True):
-                lo = np.array([s["lo"] for s in spans or []], dtype=np.int64)
-                hi = np.array([s["hi"] for s in spans or []], dtype=np.int64) + size
-                order = np.argsort(lo, kind="stable")
-                lo, hi = lo[order], np.maximum.accumulate(hi[order]) if len(hi) else hi
-                fresh = np.flatnonzero(np.concatenate(([True], lo[1:] > hi[:-1]))) if len(lo) else lo
-                start = lo[fresh]
-                end = hi[np.concatenate((fresh[1:] - 1, [len(hi) - 1]))] if len(lo) else hi
-                parts = [bytes(data[a:b]) for a, b in zip(np.concatenate(([0], end)), np.concatenate((start, [len(data)])), strict=True)]
-                total.append(len(data))
-                gone.append(int((end - start).sum()))
-                runs.append(len(start))
-                kept.append(b"".join(parts))
-            yield pa.record_batch([
-                batch.column("doc_id"), pa.array(total, pa.int64()), pa.array(gone, pa.int64()),
-                pa.array(runs, pa.int64()), pa.array(kept, pa.binary())],
-                names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+            starts, ends = [], []
+            spans = batch.column("spans")
+            cuts, place = spans.offsets.to_numpy(), spans.values.to_numpy(zero_copy_only=False)
+            for i in range(batch.num_rows):
+                lo, hi, _ = _unpacked(np.sort(place[cuts[i]:cuts[i + 1]]))
+                hi = np.maximum.accumulate(hi) + size
+                fresh = np.flatnonzero(np.concatenate(([True], lo[1:] > hi[:-1])))
+                starts.append(lo[fresh])
+                ends.append(hi[np.concatenate((fresh[1:] - 1, [len(hi) - 1]))])
+            yield pa.record_batch([batch.column("key"), pa.array(starts, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32()))],
+                                  names=["key", "starts", "ends"])
 
     return work
 
 
+def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        total, gone, runs, kept = [], [], [], []
+        for data, start, end in zip(arrays.texts(batch.column("text")), batch.column("starts").to_pylist(),
+                                    batch.column("ends").to_pylist(), strict=True):
+            start, end = start or [], end or []
+            total.append(len(data))
+            gone.append(sum(end) - sum(start))
+            runs.append(len(start))
+            kept.append(b"".join(data[a:b].tobytes() for a, b in zip([0, *end], [*start, len(data)], strict=True)))
+        yield pa.record_batch([
+            batch.column("doc_id"), pa.array(total, pa.int64()), pa.array(gone, pa.int64()),
+            pa.array(runs, pa.int64()), pa.array(kept, pa.binary())],
+            names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+
+
 def remove_repeats(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes).
 
@@ -254,11 +300,12 @@ def remove_repeats(docs: DataFrame, size: int = SIZE) -> DataFrame:
     than ``size`` bytes stay whole.  ``kept`` may end inside a character.
     """
     texts = _texts(docs)
-    spans = repeated(texts, size).groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    spans = repeated(texts, size).groupBy("key").agg(F.collect_list("place").alias("spans")) \
+        .mapInArrow(_merged(size), "key long, starts array<int>, ends array<int>")
+    each = texts.select("key", "copy").distinct().join(spans, "key")
     kind = docs.select("doc_id").schema.add("n_bytes", "long").add("n_removed", "long") \
         .add("n_spans", "long").add("kept", "binary")
-    each = texts.select("key", "copy").distinct().join(spans, "key")
-    return texts.join(each, ["key", "copy"], "left").mapInArrow(_removed(size), kind)
+    return texts.join(each, ["key", "copy"], "left").mapInArrow(_removed, kind)
 
 
 @query("op10_repeated_substrings")
