@@ -29,7 +29,7 @@ from wordclips.session import stored
 SHINGLE, ALIKE = 5, 0.8
 SLOTS = 64
 #: A bucket of up to LIMIT sets is compared whole; larger ones are split, DEPTH times at most.
-LIMIT, DEPTH = 256, 4
+LIMIT, DEPTH = 256, 3
 #: Sets of a component compared in one task, pairs of such blocks in others.
 BLOCK = 512
 
@@ -154,57 +154,75 @@ def _rest_against_block(least: int):
             keys = np.array(t.column("key").to_pylist(), dtype=object)
             under = np.array(t.column("under").to_pylist(), dtype=object)
             m, rest = _matrix(t.column("sketch")), t.column("rest").to_numpy()
-            cut, pairs, hung = arrays.starts_of(t.column("cell").to_numpy()), [], []
+            cut, pairs = arrays.starts_of(t.column("cell").to_numpy()), []
             for lo, hi in zip(cut[:-1], cut[1:], strict=True):
-                for i in lo + np.flatnonzero(rest[lo:hi]):
-                    met = lo + np.flatnonzero((m[lo:hi] == m[i]).sum(axis=1) >= least)
-                    free = met[rest[met] & (met > i)]
-                    pairs.append((np.full(len(free), i), free))
-                    # Sets under a pivot are connected through it: one edge to each such pivot is enough.
-                    hung += [(keys[i], p) for p in set(under[met[~rest[met]]])]
+                # Sets under one pivot are connected through it. Only edges that connect what is not yet are kept.
+                _, first, label = np.unique(under[lo:hi].astype(bytes), return_index=True, return_inverse=True)
+                label = first[label]
+                for i in np.flatnonzero(rest[lo:hi]):
+                    met = np.unique(label[(m[lo:hi] == m[lo + i]).sum(axis=1) >= least])
+                    new = met[met != label[i]]
+                    pairs.append((np.full(len(new), lo + i), lo + new))
+                    label[np.isin(label, new)] = label[i]
             yield _edges(pairs, keys)
-            if hung:
-                yield pa.record_batch([pa.array([x for x, _ in hung], pa.binary()),
-                                       pa.array([y for _, y in hung], pa.binary())], names=["a", "b"])
 
     return work
 
 
-def _near_pivot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        if b.num_rows:
-            same = (_matrix(b.column("sketch")) == _matrix(b.column("pivot_sketch"))).sum(axis=1)
-            yield pa.record_batch([b.column("path"), b.column("key"), b.column("pivot"), pa.array(same)],
-                                  names=["path", "key", "pivot", "same"])
+def _under_pivots(least: int, core: int):
+    """Adds to each set of a large bucket: its best pivot, whether none is near (rest), pivots tied to a pivot."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            keys, m = b.column("key").to_pylist(), _matrix(b.column("sketch"))
+            lists = b.column("pivots")
+            cut = lists.offsets.to_numpy()
+            names = lists.values.field("pivot").to_pylist()
+            row = np.repeat(np.arange(len(m)), np.diff(cut))
+            same = np.zeros(len(names), dtype=np.int64)
+            if len(row):
+                own = slice(cut[0], cut[-1])
+                same[own] = (m[row] == _matrix(lists.values.field("sketch"))[own]).sum(axis=1)
+            under, rest, ties = [], [], []
+            for i, key in enumerate(keys):
+                mine, part = names[cut[i]:cut[i + 1]], same[cut[i]:cut[i + 1]]
+                near = len(mine) > 0 and part.max() >= core
+                under.append(mine[int(part.argmax())] if near else key)
+                rest.append(not near)
+                ties.append([p for p, n in zip(mine, part, strict=True) if n >= least and p != key] if key in mine else [])
+            yield pa.record_batch([b.column("path"), b.column("key"), b.column("sketch"), b.column("count"),
+                                   pa.array(under, pa.binary()), pa.array(rest), pa.array(ties, pa.list_(pa.binary()))],
+                                  names=["path", "key", "sketch", "count", "under", "rest", "ties"])
+
+    return work
 
 
 def _large_buckets(rows: DataFrame, counts: DataFrame, sketches: DataFrame, least: int) -> DataFrame:
     """Edges of buckets that no split makes small, such as thousands of near copies.
 
-    About sixteen members chosen by hash are pivots.  A set with 0.9 of its
-    values equal to a pivot's hangs under it; only the others are compared with
-    the whole bucket, in blocks of about ``4 * BLOCK`` sets.
+    About four members chosen by hash are pivots (so their list stays short,
+    however large the bucket).  A set with 0.9 of its values equal to a pivot's
+    hangs under it; only the others are compared with the whole bucket, in blocks
+    of about ``4 * BLOCK`` sets.
     """
-    # Twice the highest value a hash can have, over 16: chosen about 16 times in n.
+    known = rows.join(counts, "path").join(sketches, "key")
     mark = F.pmod(F.xxhash64("key", "path"), F.lit(1 << 40))
-    pivots = rows.join(counts, "path").where(mark < (F.lit(16.0) / F.col("count")) * (1 << 40)) \
-        .join(sketches, "key").select("path", F.col("key").alias("pivot"), F.col("sketch").alias("pivot_sketch"))
-    known = rows.join(sketches, "key")
-    near = known.join(pivots, "path").mapInArrow(_near_pivot, "path long, key binary, pivot binary, same long")
-    best = near.groupBy("path", "key").agg(F.max_by("pivot", F.struct("same", "pivot")).alias("under"), F.max("same").alias("same"))
-    core = F.coalesce(F.col("same") >= math.ceil(0.9 * SLOTS), F.lit(False))
-    told = known.join(best, ["path", "key"], "left").join(counts, "path").withColumn("rest", ~core)
+    pivots = known.where(mark < (F.lit(4.0) / F.col("count")) * (1 << 40)).groupBy("path").agg(
+        F.collect_list(F.struct(F.col("key").alias("pivot"), "sketch")).alias("pivots"))
+    listed = known.join(pivots, "path", "left").withColumn("pivots", F.coalesce("pivots", F.array()))
+    told = stored(listed.select("path", "key", "sketch", "count", "pivots").mapInArrow(
+        _under_pivots(least, math.ceil(0.9 * SLOTS)), "path long, key binary, sketch binary, count long, "
+        "under binary, rest boolean, ties array<binary>"), "told")
     hung = told.where("not rest").select(F.col("under").alias("a"), F.col("key").alias("b"))
-    tied = near.where(F.col("same") >= least).join(
-        pivots.select("path", F.col("pivot").alias("key")), ["path", "key"], "left_semi").select(
-        F.col("pivot").alias("a"), F.col("key").alias("b"))
+    tied = told.select(F.explode("ties").alias("a"), F.col("key").alias("b"))
     blocks = F.ceil(F.col("count") / (4 * BLOCK)).cast("int")
     mine = F.pmod(F.xxhash64("key"), blocks).cast("int")
     where_to = F.when(F.col("rest"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(mine))
-    cells = told.select("path", "key", "sketch", "under", "rest", F.explode(where_to).alias("block"))
-    busy = cells.where("rest").select("path").distinct()
-    compared = cells.join(busy, "path", "left_semi").select(
-        F.xxhash64("path", "block").alias("cell"), "key", "sketch", F.coalesce("under", "key").alias("under"), "rest") \
+    busy = told.where("rest").select("path").distinct()
+    cells = told.join(busy, "path", "left_semi").select("path", "key", "sketch", "under", "rest", F.explode(where_to).alias("block"))
+    compared = cells.select(F.xxhash64("path", "block").alias("cell"), "key", "sketch", "under", "rest") \
         .repartition("cell").sortWithinPartitions("cell").mapInArrow(_rest_against_block(least), "a binary, b binary")
     return hung.unionByName(tied).unionByName(compared)
 
@@ -349,9 +367,13 @@ def joined(docs: DataFrame, alike: float = ALIKE, k: int = SHINGLE, runs: int |
 
 
 def one_of_each(docs: DataFrame, **how) -> DataFrame:
-    """``docs`` with one document of each class: that of the smallest doc_id (its first words by key)."""
+    """``docs`` with one document of each class: that of the smallest doc_id, a null one last.
+
+    Of equal rows one stays; every column does.
+    """
     found = joined(docs, **how)
-    first = found.groupBy("root").agg(F.min(F.struct("doc_id", "key")).alias("f")).select(
+    first = found.groupBy("root").agg(F.min(F.struct(
+        F.col("doc_id").isNull().alias("nameless"), "doc_id", "key")).alias("f")).select(
         F.col("f.doc_id").alias("__d"), F.col("f.key").alias("__k"))
     keyed = docs.withColumn("__key", _key(words("text")))
     same = keyed["doc_id"].eqNullSafe(first["__d"]) & (keyed["__key"] == first["__k"])
