@@ -70,14 +70,14 @@ def test_quality_votes(spark):
     bad = [lambda: good().upper() + "!!", lambda: "word " * 90, lambda: good().replace(" ", "*** ")]
     rows = [(i, good() if i % 4 else bad[i % 3](), "en") for i in range(400)]
     docs = _docs(spark, rows)
-    labels = docs.select("text", F.when(F.col("doc_id") % 4 == 0, 0).otherwise(1).alias("quality"), "doc_id")
-    voters = quality.fit(labels.where("doc_id < 300"))
+    labels = docs.select(F.when(F.col("doc_id") % 4 == 0, 0).otherwise(1).alias("quality"), "doc_id")
+    voters = quality.fit(docs, labels.where("doc_id < 300"))
     got = docs.where("doc_id >= 300").select("doc_id", quality.score(F.col("text"), voters).alias("q")).collect()
     assert np.mean([(r["q"] >= 0.5) == bool(r["doc_id"] % 4) for r in got]) > 0.97
     odd = _docs(spark, [(1, None, None), (2, "", None), (3, "é", None), (3, "é", None), (4, "x" * 3_000_000, None)])
     scores = {r["doc_id"]: r["q"] for r in odd.select("doc_id", quality.score(F.col("text"), voters).alias("q")).collect()}
     assert scores[1] == scores[2] == pytest.approx(voters.prior) and all(0 <= s <= 1 for s in scores.values())
-    assert quality.fit(labels.limit(0)) is None
+    assert quality.fit(docs, labels.limit(0)) is None
     assert odd.select(quality.score(F.col("text"), None).alias("q")).first()["q"] == 0.5
 
 

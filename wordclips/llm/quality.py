@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from wordclips.llm import arrays
 from wordclips.llm.catalog import query, table
 from wordclips.llm.sampling import per_label
-from wordclips.llm.text import text_key, whole
+from wordclips.llm.text import whole
 
 #: Bound of the labelled sample: documents per label.
 PER_LABEL = 1500
@@ -133,14 +133,19 @@ def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([batch.column("quality"), pa.array(made, pa.binary())], names=["quality", "counts"])
 
 
-def fit(labelled: DataFrame, most: int = PER_LABEL, rank: int = RANK) -> Voters | None:
-    """Vectors of at most ``most`` documents of each label, chosen by hash of id and text.
+def fit(docs: DataFrame, labels: DataFrame, most: int = PER_LABEL, rank: int = RANK) -> Voters | None:
+    """Vectors of at most ``most`` documents of each label, chosen by hash of their id.
 
-    ``labelled`` has doc_id, text and quality (0 or 1; null teaches nothing).  Only term
-    counts come to the driver, 20 kB a document.  None where nothing is labelled.
+    ``docs`` has doc_id and text, ``labels`` doc_id and quality (0 or 1; null
+    teaches nothing).  The labels are sampled before they meet the texts: no more
+    than ``2 * most`` rows are broadcast.  Of rows with one doc_id the first text
+    counts.  Only term counts come to the driver, 20 kB a document.  None where
+    nothing is labelled.
     """
-    able = labelled.where(F.col("quality").isin(0, 1)).select("doc_id", F.col("quality").cast("int").alias("quality"), whole("text").alias("text"))
-    chosen = per_label(able.withColumn("key", text_key("text")), "quality", most, ["doc_id", "key"])
+    able = labels.where(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
+    few = per_label(able, "quality", most, ["doc_id"])
+    chosen = docs.select("doc_id", whole("text").alias("text")).join(F.broadcast(few), "doc_id") \
+        .groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
     got = chosen.select("quality", "text").mapInArrow(_count_rows, "quality int, counts binary").collect()
     if not got:
         return None
@@ -180,6 +185,6 @@ def op5_quality_votes(spark, sf_dir):
     """Contract: doc_id, held_out, score, predicted."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
-    voters = fit(docs.where(~held_out()).join(labels, "doc_id"))
+    voters = fit(docs, labels.where(~held_out()))
     out = docs.select("doc_id", held_out().alias("held_out"), score(F.col("text"), voters).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= CUT).cast("int"))
