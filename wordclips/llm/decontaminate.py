@@ -78,6 +78,34 @@ def _item_rows(k: int, slots: int):
     return work
 
 
+def around(own: np.ndarray, bloom: arrays.Bloom, classes: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """The parts of a document whose windows hold a shingle that items may have, and where each part begins.
+
+    A window without such a shingle can't share a MinHash value with an item.
+    Parts begin at whole blocks of the largest class, as its windows do.
+    """
+    block = max(classes) // 4
+    n = -(-len(own) // block)
+    met = np.unique(np.flatnonzero(bloom.holds(own)) // block)
+    near = np.unique(np.clip(met[:, None] + np.arange(-4, 5)[None, :], 0, n - 1))
+    first = np.flatnonzero(np.diff(near, prepend=-2) > 1)
+    place = (near[:, None] * block + np.arange(block)[None, :]).ravel()
+    return own[place[place < len(own)]], first * block
+
+
+def window_minima(values: np.ndarray, cuts: np.ndarray, block: int) -> np.ndarray:
+    """Least value of every five blocks in a row, of parts that begin at ``cuts``."""
+    ends = np.append(cuts[1:], len(values))
+    at = np.concatenate([np.arange(a, b, block) for a, b in zip(cuts, ends, strict=True)])
+    least = np.minimum.reduceat(values, at)
+    part = np.repeat(np.arange(len(cuts)), -(-(ends - cuts) // block))
+    window = least.copy()
+    for d in range(1, min(5, len(least))):
+        same = part[d:] == part[:-d]
+        window[:-d][same] = np.minimum(window[:-d][same], least[d:][same])
+    return window
+
+
 def _document_rows(k: int, slots: int, classes: list[int], bloom: arrays.Bloom):
     """Per document: shingles that items may have (size 0), and window values that items may have."""
 
@@ -95,14 +123,11 @@ def _document_rows(k: int, slots: int, classes: list[int], bloom: arrays.Bloom):
                     size += [0] * len(met)
                     slot += [0] * len(met)
                     value.append(met)
+                    part, cuts = around(own, bloom, classes)
                     for j in range(slots):
-                        values = arrays.mix(own, _seed(j))
+                        values = arrays.mix(part, _seed(j))
                         for s in classes:
-                            block = np.minimum.reduceat(values, np.arange(0, len(values), s // 4))
-                            window = block.copy()
-                            for d in range(1, min(5, len(block))):
-                                window[:len(block) - d] = np.minimum(window[:len(block) - d], block[d:])
-                            window = np.unique(window)
+                            window = np.unique(window_minima(values, cuts, s // 4))
                             window = window[bloom.holds(_tag(window, np.uint64(s), np.uint64(j)))]
                             key += [name] * len(window)
                             size += [s] * len(window)
