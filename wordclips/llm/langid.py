@@ -202,8 +202,11 @@ def identify(text: Column, net: Network | None) -> Column:
     return F.when(whole(text).rlike(r"\p{L}"), got).otherwise(blank)
 
 
-def reject_unknown(docs: DataFrame, net: Network | None, least: float = 0.5) -> DataFrame:
-    """``docs`` without texts of no known language: ``und``, or a score under ``least``. All columns stay."""
+def reject_unknown(docs: DataFrame, net: Network | None, least: float = 0.4) -> DataFrame:
+    """``docs`` without texts of no known language: ``und``, or a score under ``least``. All columns stay.
+
+    A text half in one known language and half in another scores about 0.5 and stays.
+    """
     judged = docs.withColumn("__language", identify(F.col("text"), net))
     return judged.where((F.col("__language.lang_pred") != UNKNOWN) & (F.col("__language.score") >= least)) \
         .drop("__language")
