@@ -56,6 +56,29 @@ def test_runs_reach_the_recall():
     assert 1 - (1 - 0.8 ** 2) ** ngram_join.runs_for(0.8) >= 0.9999
 
 
+def test_runs_reach_the_recall_at_the_depth_used():
+    runs, depth = ngram_join.runs_for(0.8), ngram_join.DEPTH
+    assert 1 - (1 - 0.8 ** depth) ** runs >= 0.9999
+    # Runs that shared places would miss the same pairs.
+    places = [ngram_join.place_of(r, level, runs) for level in range(depth) for r in range(runs)]
+    assert len(set(places)) == runs * depth
+
+
+def test_each_run_meets_a_pair_the_others_miss(spark):
+    rng, depth = np.random.default_rng(5), 3
+    runs = ngram_join.runs_for(0.8, depth=depth)
+    rows = []
+    for r in range(runs):
+        a = rng.integers(0, 2**32, ngram_join.SLOTS, dtype=np.uint32)
+        b = a.copy()
+        b[[i for i in range(runs) if i != r]] ^= 1      # the first places of all other runs
+        rows += [(bytes([r, side]), x.astype("<u4").tobytes()) for side, x in enumerate((a, b))]
+    sketches = spark.createDataFrame(rows, "key binary, sketch binary")
+    got = ngram_join.candidates(sketches, 0.8, limit=1, depth=depth).collect()
+    assert {bytes(e["a"])[0] for e in got if e["a"] != e["b"]} == set(range(runs))
+    assert all(e["a"][0] == e["b"][0] for e in got)
+
+
 def test_a_large_bucket_of_near_copies(spark):
     rng = random.Random(4)
     base = [f"w{i}" for i in range(300)]

@@ -3,10 +3,11 @@
 A document is its set of five-word shingles, held as 64 MinHash values: two sets
 agree in a value with their Jaccard similarity as probability.  A run starts a
 path per set from one sampled value; sets on the same path share a bucket.  A
-bucket that is too large is split by the value at a further place, which a hash
-of the path chooses, down to a largest depth; small buckets are compared whole.
-Runs are repeated until a pair at the threshold is missed with less than one
-chance in ten thousand.  What is found only says which sets may be connected:
+bucket that is too large is split by the value at a further place of the run,
+down to a largest depth; small buckets are compared whole.  No two runs read one
+place, so they miss a pair independently, and they are repeated until a pair at
+the threshold that shares every bucket on the way down is missed with less than
+one chance in ten thousand.  What is found only says which sets may be connected:
 inside each such component all sets are then compared exactly, block by block.
 """
 
@@ -34,11 +35,19 @@ LIMIT, DEPTH = 256, 3
 BLOCK = 512
 
 
-def runs_for(alike: float, recall: float = 0.9999, depth: int = 2) -> int:
-    """Runs after which a pair at ``alike`` that stays together for ``depth`` splits is met."""
+def runs_for(alike: float, recall: float = 0.9999, depth: int = DEPTH) -> int:
+    """Runs after which a pair at ``alike`` that must share ``depth`` values in a run is met.
+
+    This counts on runs without a place in common: runs * depth <= SLOTS (see ``place_of``).
+    """
     return math.ceil(math.log(1 - recall) / math.log(1 - alike ** depth))
 
 
+def place_of(run, level: int, runs: int):
+    """The place whose value run ``run`` reads at ``level`` (0: its first step)."""
+    return (level * runs + run) % SLOTS
+
+
 def floor_of(alike: float) -> int:
     """Equal MinHash values below which a pair at ``alike`` lies less than once in 300,000 (4.5 sigma)."""
     return max(1, math.floor(SLOTS * alike - 4.5 * math.sqrt(SLOTS * alike * (1 - alike))))
@@ -83,7 +92,9 @@ def _matrix(column) -> np.ndarray:
 
 
 def _paths(runs: int):
-    """First steps: one row per set and run."""
+    """First steps: one row per set and run. A path's last byte is its run."""
+    if runs > 256:
+        raise ValueError("at most 256 runs")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
@@ -92,23 +103,30 @@ def _paths(runs: int):
                     continue
                 m = _matrix(batch.column("sketch")).astype(np.uint64)
                 for run in range(runs):
-                    place = int(arrays.mix(np.array([run + 1], dtype=np.uint64))[0] % SLOTS)
-                    path = arrays.mix(m[:, place] ^ np.uint64((run + 1) << 40), 77)
+                    path = arrays.mix(m[:, place_of(run, 0, runs)] ^ np.uint64((run + 1) << 40), 77)
+                    path = path >> np.uint64(8) << np.uint64(8) | np.uint64(run)
                     yield pa.record_batch([batch.column("key"), pa.array(path.view(np.int64))], names=["key", "path"])
 
     return work
 
 
-def _deeper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    with np.errstate(over="ignore"):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            m = _matrix(batch.column("sketch")).astype(np.uint64)
-            path = batch.column("path").to_numpy(zero_copy_only=False).view(np.uint64)
-            place = (arrays.mix(path, 5) % np.uint64(SLOTS)).astype(np.int64)
-            path = arrays.mix(path ^ arrays.mix(m[np.arange(len(m)), place]), 78)
-            yield pa.record_batch([batch.column("key"), pa.array(path.view(np.int64))], names=["key", "path"])
+def _deeper(runs: int, level: int):
+    """Paths one step longer, by the value at their run's place at ``level``."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with np.errstate(over="ignore"):
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                m = _matrix(batch.column("sketch")).astype(np.uint64)
+                path = batch.column("path").to_numpy(zero_copy_only=False).view(np.uint64)
+                run = path & np.uint64(255)
+                place = place_of(run.astype(np.int64), level, runs)
+                path = arrays.mix(path ^ arrays.mix(m[np.arange(len(m)), place]), 78)
+                path = path >> np.uint64(8) << np.uint64(8) | run
+                yield pa.record_batch([batch.column("key"), pa.array(path.view(np.int64))], names=["key", "path"])
+
+    return work
 
 
 def _edges(pairs: list, keys: np.ndarray) -> pa.RecordBatch:
@@ -230,7 +248,7 @@ def _large_buckets(rows: DataFrame, counts: DataFrame, sketches: DataFrame, leas
 def candidates(sketches: DataFrame, alike: float = ALIKE, runs: int | None = None, limit: int = LIMIT,
                depth: int = DEPTH) -> DataFrame:
     """Edges (a, b) whose components hold every pair at ``alike``; ``sketches`` has key and sketch."""
-    runs, least = runs or runs_for(alike), floor_of(alike)
+    runs, least = runs or runs_for(alike, depth=depth), floor_of(alike)
     rows = stored(sketches.mapInArrow(_paths(runs), "key binary, path long"), "paths")
     found = None
     for level in range(1, depth + 1):
@@ -243,7 +261,8 @@ def candidates(sketches: DataFrame, alike: float = ALIKE, runs: int | None = Non
         if large.isEmpty():
             return found
         if level < depth:
-            rows = large.select("key", "path").join(sketches, "key").mapInArrow(_deeper, "key binary, path long")
+            rows = large.select("key", "path").join(sketches, "key").mapInArrow(
+                _deeper(runs, level), "key binary, path long")
     counts = large.select("path", "count").distinct()
     return found.unionByName(_large_buckets(large.select("path", "key"), counts, sketches, least))
 
