@@ -173,6 +173,27 @@ def test_repeats_against_brute_force(spark, size):
     assert _removed(spark, texts, size) == models.without_repeats(texts, size)
 
 
+def test_copies_of_a_text_gather_its_spans_once(spark, monkeypatch):
+    rng = random.Random(11)
+    text = "".join(rng.choice("abcdefgh ") for _ in range(2000))
+    plain = substrings._merged
+
+    def merged(size):
+        work = plain(size)
+
+        def once(batches):
+            for batch in batches:
+                for spans in batch.column("spans").to_pylist():
+                    assert len(spans) == len(set(spans))
+                yield from work([batch])
+
+        return once
+
+    monkeypatch.setattr(substrings, "_merged", merged)
+    texts = [text] * 40 + [text[:500], "z" * 100]
+    assert _removed(spark, texts, 64) == models.without_repeats(texts, 64)
+
+
 def test_repeats_over_the_cuts_of_a_long_text(spark, monkeypatch):
     rng = random.Random(9)
     long = "".join(rng.choice("abcdefgh ") for _ in range(3000))

@@ -300,7 +300,8 @@ def remove_repeats(docs: DataFrame, size: int = SIZE) -> DataFrame:
     than ``size`` bytes stay whole.  ``kept`` may end inside a character.
     """
     texts = _texts(docs)
-    spans = repeated(texts, size).groupBy("key").agg(F.collect_list("place").alias("spans")) \
+    # Each copy of a text gives the same spans; one of each is gathered.
+    spans = repeated(texts, size).distinct().groupBy("key").agg(F.collect_list("place").alias("spans")) \
         .mapInArrow(_merged(size), "key long, starts array<int>, ends array<int>")
     each = texts.select("key", "copy").distinct().join(spans, "key")
     kind = docs.select("doc_id").schema.add("n_bytes", "long").add("n_removed", "long") \
