@@ -36,6 +36,21 @@ def test_against_brute_force(spark):
     assert got.columns == ["doc_id", "text", "source", "extra", "n_lines", "n_removed", "whole_copy"]
 
 
+def test_every_document_loses_its_boilerplate(spark):
+    page = "one page\ncopied everywhere\nShared footer of all sites"
+    rows = [(i, f"a line of its own {i}\nShared footer of all sites", f"s{i}") for i in range(10)]
+    rows += [(20, "Shared footer of all sites\nown", "s0"), (21, "shared footer of all sites ", "s1")]
+    rows += [(22 + i, "own twice\nShared footer of all sites", f"s{i}") for i in range(2)]
+    rows += [(30 + i, page, f"s{i}") for i in range(9)]
+    rows += [(40, "one page\nnot copied", "s0")]
+    got = {r["doc_id"]: (r["text"], r["n_removed"], r["whole_copy"])
+           for r in lines.remove_boilerplate(_docs(spark, rows), min_sites=8).collect()}
+    want = {i: (f"a line of its own {i}", 1, False) for i in range(10)}
+    want |= {20: ("own", 1, False), 21: ("", 1, False), 22: ("own twice", 1, False), 23: ("own twice", 1, False)}
+    want |= {30 + i: ("one page\ncopied everywhere", 1, True) for i in range(9)}
+    assert got == want | {40: ("not copied", 1, False)}
+
+
 def test_near_the_threshold_counts_are_exact(spark):
     # Lines on 1 to 120 sites around a threshold of 60.
     rows = [(k * 1000 + s, f"line of {k} sites\n{'x' * 60} {k} {s}", f"s{s}") for k in range(40, 80) for s in range(k)]

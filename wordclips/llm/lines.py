@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from wordclips.llm.catalog import query, table
 from wordclips.llm.text import text_key, whole
 
-#: Production parameters: sites that make a line boilerplate; share of a document's
-#: characters beyond which it is a copy of a page, left whole to near-duplicate stages.
+#: Production parameters: sites that make a line boilerplate; MOST is of the rule that
+#: OP7_SQL still has: a document with a larger share of boilerplate was left whole.
 MIN_SITES = 8
 MOST = 0.5
 
@@ -33,12 +33,14 @@ def _hashes(line: Column) -> list[Column]:
     return [F.xxhash64(line).alias("h1"), F.hash(line).alias("h2")]
 
 
-def _lines(docs: DataFrame, site: str | None = None) -> DataFrame:
-    cols = [text_key("text").alias("key")] if site is None else [_site(site).alias("site")]
+def _lines(docs: DataFrame, site: str | None = None, keyed: bool = False) -> DataFrame:
+    """Lines that are not blank: at, h1, h2; with their site if one is named, with the text's key if not or if ``keyed``."""
+    cols = [text_key("text").alias("key")] if site is None or keyed else []
+    cols += [_site(site).alias("site")] if site is not None else []
+    names = ("key",) * (site is None or keyed) + ("site",) * (site is not None)
     return docs.select(*cols, F.posexplode(F.transform(
         F.split(whole("text"), "\n"), normal)).alias("at", "line")) \
-        .where("line != ''").select(*[c for c in ("key", "site") if (c == "site") == (site is not None)],
-                                   "at", *_hashes(F.col("line")))
+        .where("line != ''").select(*names, "at", *_hashes(F.col("line")))
 
 
 def boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES,
@@ -59,43 +61,50 @@ def boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITE
     return clear.unionByName(exact.select("h1", "h2"))
 
 
-def remove_boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES,
-                       most: float = MOST) -> DataFrame:
+def _hits(docs: DataFrame, site: str, min_sites: int) -> DataFrame:
+    """Per key of a text: the places of lines to remove (hits) and whether it is a page copied (copied)."""
+    bad = boilerplate(docs, site, min_sites)
+    found = _lines(docs, site, keyed=True).join(bad, ["h1", "h2"])
+    copies = docs.select(text_key("text").alias("key"), _site(site).alias("site")).groupBy("key").agg(
+        F.countDistinct("site").alias("sites")).where(F.col("sites") >= min_sites).select("key")
+    single = found.join(copies, "key", "left_anti")
+    apart = single.groupBy("h1", "h2").agg(F.countDistinct("site").alias("sites")) \
+        .where(F.col("sites") >= min_sites).select("h1", "h2", F.lit(True).alias("apart"))
+    paged = found.join(copies, "key", "left_semi").select("key", "at", "h1", "h2").distinct() \
+        .join(apart, ["h1", "h2"], "left").select("key", F.when(F.col("apart"), F.col("at")).alias("at"), F.lit(True).alias("copied"))
+    return single.select("key", "at", F.lit(False).alias("copied")).unionByName(paged).groupBy("key").agg(
+        F.collect_set("at").alias("hits"), F.bool_or("copied").alias("copied"))
+
+
+def remove_boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
     """``docs`` (text and a site column) with boilerplate lines taken out of ``text``.
 
     Adds n_lines, n_removed and whole_copy; other columns stay, also equally
     named ones.  Lines are parted by ``\\n``; blank lines are never boilerplate.
-    A document more than ``most`` of whose characters (those of its lines that
-    are not blank, outer blanks not counted) are boilerplate is a copy of a page
-    rather than a page with boilerplate: it keeps every line (whole_copy) for the
-    near-duplicate stage to judge.  A null text counts as empty and has one line.
-    Documents with equal texts lose the same lines.
+    Every document loses its boilerplate, whatever its share.  A text that
+    ``min_sites`` distinct sites or more show as a whole is a page copied
+    (whole_copy): its lines are on as many sites for that alone, so it loses only
+    those that as many sites show in texts that are no such copies; the
+    near-duplicate stage judges the copies.  A null text counts as empty and has
+    one line.  Documents with equal texts lose the same lines.
     """
-    bad = boilerplate(docs, site, min_sites)
-    hits = _lines(docs).join(bad, ["h1", "h2"]).groupBy("key").agg(
-        F.collect_set("at").alias("__hits"))
+    hits = _hits(docs, site, min_sites)
     parts = F.split(whole("text"), "\n")
     keyed = docs.withColumn("__key", text_key("text"))
-    joined = keyed.join(hits.withColumnRenamed("key", "__key"), "__key", "left") \
+    joined = keyed.join(hits.select(F.col("key").alias("__key"), F.col("hits").alias("__hits"), F.col("copied").alias("__copy")),
+                        "__key", "left") \
         .withColumn("__parts", parts) \
-        .withColumn("__map", F.when(F.col("__hits").isNotNull(), F.map_from_entries(
+        .withColumn("__map", F.when(F.size("__hits") > 0, F.map_from_entries(
             F.transform("__hits", lambda i: F.struct(i, F.lit(True))))))
     is_hit = lambda i: F.coalesce(F.try_element_at("__map", i), F.lit(False))
-    size = lambda lines: F.length(F.array_join(F.transform(lines, lambda x: F.trim(x)), ""))
-    rest = F.when(F.col("__hits").isNull(), F.col("__parts")).otherwise(
-        F.filter("__parts", lambda x, i: ~is_hit(i)))
-    joined = joined.withColumn("__rest", rest)
-    copy = F.col("__hits").isNotNull() & (
-        size(F.col("__rest")) < (1 - most) * size(F.col("__parts")))
-    joined = joined.withColumn("__copy", copy)
-    kept = F.when(F.col("__hits").isNull() | F.col("__copy"), F.col("text")).otherwise(
-        F.array_join("__rest", "\n"))
-    removed = F.when(F.col("__hits").isNull() | F.col("__copy"), F.lit(0)).otherwise(F.size("__hits"))
+    kept = F.when(F.col("__map").isNull(), F.col("text")).otherwise(
+        F.array_join(F.filter("__parts", lambda x, i: ~is_hit(i)), "\n"))
+    removed = F.when(F.col("__map").isNull(), F.lit(0)).otherwise(F.size("__hits"))
     mine = ("n_lines", "n_removed", "whole_copy")
     return joined.select(
         *[kept.alias(c) if c == "text" else F.col(c) for c in docs.columns if c not in mine],
         F.size("__parts").cast("bigint").alias("n_lines"), removed.cast("bigint").alias("n_removed"),
-        F.col("__copy").alias("whole_copy"))
+        F.coalesce("__copy", F.lit(False)).alias("whole_copy"))
 
 
 OP7_SQL = f"""
