@@ -4,8 +4,10 @@ from wordclips.llm import (  # noqa: F401
     chats,
     decontaminate,
     fingerprints,
+    infilling,
     langid,
     lines,
+    manifest,
     mixing,
     ngram_join,
     quality,
