@@ -12,6 +12,7 @@ from wordclips.llm import (  # noqa: F401
     ngram_join,
     quality,
     substrings,
+    toxicity,
     urls,
 )
 from wordclips.llm.catalog import ORACLE, QUERIES
