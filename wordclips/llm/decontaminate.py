@@ -1,19 +1,20 @@
 """Benchmark decontamination: short test items found inside long documents.
 
 Items are partitioned by size (number of distinct shingles, classes of powers
-of two).  For a class of size s the shingles of a document are cut into blocks
-of s / 4, and five blocks in a row are a window: an item of the class lies whole
-in one, and is then at least 0.3 of it.  Windows and items meet where one of
-their MinHash values is equal, and every meeting is verified by exact
-containment of the item's shingles in the document.
-
-A fixed-size Bloom filter of the items' shingles lets documents without any of
-them pass at once; it is only a filter, so with more items than it suits more
-documents are looked at and the answer is the same.
+of two).  Of a document only the shingles that items may have count: its hits,
+in order, told by a fixed-size Bloom filter of the items' shingles (it is only a
+filter: with more items than it suits more is looked at and the answer is the
+same).  For a class of size s the hits are cut into blocks of s / 4, and five
+blocks in a row are a window: an item of the class that no other item's
+shingles interrupt lies whole in one, however much else stands between, and is
+then at least 0.3 of it.  Windows and items meet where one of their MinHash
+values is equal, and every meeting is verified by exact containment of the
+item's shingles in the document.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -78,36 +79,40 @@ def _item_rows(k: int, slots: int):
     return work
 
 
-def around(own: np.ndarray, bloom: arrays.Bloom, classes: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """The parts of a document whose windows hold a shingle that items may have, and where each part begins.
+def least_hits(size: int, share: float) -> int:
+    """Distinct hits without which a document can't hold an item of a class: the smallest has half of ``size`` and one."""
+    return max(1, math.ceil(share * (size // 2 + 1) - 1e-9)) if size > 4 else 1
 
-    A window without such a shingle can't share a MinHash value with an item.
-    Parts begin at whole blocks of the largest class, as its windows do.
-    """
-    block = max(classes) // 4
-    n = -(-len(own) // block)
-    met = np.unique(np.flatnonzero(bloom.holds(own)) // block)
-    near = np.unique(np.clip(met[:, None] + np.arange(-4, 5)[None, :], 0, n - 1))
-    first = np.flatnonzero(np.diff(near, prepend=-2) > 1)
-    place = (near[:, None] * block + np.arange(block)[None, :]).ravel()
-    return own[place[place < len(own)]], first * block
-
-
-def window_minima(values: np.ndarray, cuts: np.ndarray, block: int) -> np.ndarray:
-    """Least value of every five blocks in a row, of parts that begin at ``cuts``."""
-    ends = np.append(cuts[1:], len(values))
-    at = np.concatenate([np.arange(a, b, block) for a, b in zip(cuts, ends, strict=True)])
-    least = np.minimum.reduceat(values, at)
-    part = np.repeat(np.arange(len(cuts)), -(-(ends - cuts) // block))
-    window = least.copy()
-    for d in range(1, min(5, len(least))):
-        same = part[d:] == part[:-d]
-        window[:-d][same] = np.minimum(window[:-d][same], least[d:][same])
-    return window
-
-
-def _document_rows(k: int, slots: int, classes: list[int], bloom: arrays.Bloom):
+
+def window_minima(values: np.ndarray, block: int) -> np.ndarray:
+    """Along the last axis, the least of every five blocks in a row (of all, where there are fewer)."""
+    least = np.minimum.reduceat(values, np.arange(0, values.shape[-1], block), axis=-1)
+    n = max(1, least.shape[-1] - 4)
+    out = least[..., :n].copy()
+    for d in range(1, min(5, least.shape[-1])):
+        np.minimum(out, least[..., d:d + n], out=out)
+    return out
+
+
+def _window_rows(hits: np.ndarray, classes: list[int], slots: int, bloom: arrays.Bloom):
+    """(size, slots, values) of the windows of a document's hits that items may have, each once."""
+    together = max(1, (1 << 18) // len(hits))
+    seeds = np.array([_seed(j) for j in range(slots)], dtype=np.uint64)
+    for lo in range(0, slots, together):
+        mixed = arrays.mix(hits[None, :], seeds[lo:lo + together, None])
+        for s in classes:
+            window = window_minima(mixed, s // 4)
+            slot = np.repeat(np.arange(lo, lo + len(window)), window.shape[1])
+            flat = window.ravel()
+            able = bloom.holds(_tag(flat, np.uint64(s), slot))
+            if able.any():
+                both = np.unique(np.rec.fromarrays((slot[able], flat[able])))
+                yield s, both.f0, both.f1
+
+
+def _document_rows(k: int, slots: int, classes: list[int], bloom: arrays.Bloom, share: float):
     """Per document: shingles that items may have (size 0), and window values that items may have."""
+    least = [(s, least_hits(s, share)) for s in classes]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
@@ -115,24 +120,20 @@ def _document_rows(k: int, slots: int, classes: list[int], bloom: arrays.Bloom):
                 key, size, slot, value = [], [], [], []
                 for name, data in zip(batch.column(0).to_pylist(), arrays.texts(batch.column(1)), strict=True):
                     own = arrays.shingles(arrays.word_hashes(data), k)
-                    met = own[bloom.holds(own)]
-                    if not len(met):
+                    hits = own[bloom.holds(own)]
+                    met = np.unique(hits)
+                    able = [s for s, n in least if len(met) >= n]
+                    if not able:
                         continue
-                    met = np.unique(met)
                     key += [name] * len(met)
                     size += [0] * len(met)
                     slot += [0] * len(met)
                     value.append(met)
-                    part, cuts = around(own, bloom, classes)
-                    for j in range(slots):
-                        values = arrays.mix(part, _seed(j))
-                        for s in classes:
-                            window = np.unique(window_minima(values, cuts, s // 4))
-                            window = window[bloom.holds(_tag(window, np.uint64(s), np.uint64(j)))]
-                            key += [name] * len(window)
-                            size += [s] * len(window)
-                            slot += [j] * len(window)
-                            value.append(window)
+                    for s, places, found in _window_rows(hits, able, slots, bloom):
+                        key += [name] * len(found)
+                        size += [s] * len(found)
+                        slot += places.tolist()
+                        value.append(found)
                 yield _batch(key, size, slot, value)
 
     return work
@@ -175,7 +176,7 @@ def contained(docs: DataFrame, items: DataFrame, share: float = SHARE, k: int =
     classes = sorted(r["size"] for r in rows.where("size > 0").select("size").distinct().collect())
     bloom = _bloom(rows, bits)
     found = stored(docs.select(text_key("text").alias("key"), words("text").alias("words"))
-                   .mapInArrow(_document_rows(k, slots, classes, bloom), _ROWS).distinct(), "windows")
+                   .mapInArrow(_document_rows(k, slots, classes, bloom, share), _ROWS).distinct(), "windows")
     sides = rows.where("size > 0").select(F.col("key").alias("item"), "size", "slot", "value")
     pairs = found.where("size > 0").join(sides, ["size", "slot", "value"]).select("key", "item").distinct()
     wanted = rows.where("size = 0").select(F.col("key").alias("item"), F.col("slot").cast("bigint").alias("n_item"), "value")
