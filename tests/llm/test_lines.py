@@ -7,20 +7,26 @@ def _docs(spark, rows):
     return spark.createDataFrame([(i, t, s, "clash", 7) for i, t, s in rows], KIND)
 
 
-def _brute(rows, min_sites, most):
-    spread = {}
+def _brute(rows, min_sites):
+    """By the rule: boilerplate goes from every text; from a page copied only what other texts show as widely."""
+    norm = lambda x: x.strip(" ").lower()
+    sites, shown, apart = {}, {}, {}
     for _, t, s in rows:
-        for x in (t or "").split("\n"):
-            if x.strip(" "):
-                spread.setdefault(x.strip(" ").lower(), set()).add(s)
+        sites.setdefault(t or "", set()).add(s)
+    copied = {t for t, found in sites.items() if len(found) >= min_sites}
+    for t, found in sites.items():
+        for x in t.split("\n"):
+            if norm(x):
+                shown.setdefault(norm(x), set()).update(found)
+                apart.setdefault(norm(x), set()).update(() if t in copied else found)
     out = []
     for i, t, _ in rows:
-        parts = (t or "").split("\n")
-        rest = [x for x in parts if len(spread.get(x.strip(" ").lower(), ())) < min_sites]
-        size = lambda xs: sum(len(x.strip(" ")) for x in xs)
+        parts, page = (t or "").split("\n"), (t or "") in copied
+        wide = apart if page else shown
+        rest = [x for x in parts if len(wide.get(norm(x), ())) < min_sites]
         hits = len(parts) - len(rest)
-        copy = hits > 0 and size(rest) < (1 - most) * size(parts)
-        out.append((i, t if copy or not hits else "\n".join(rest), len(parts), 0 if copy else hits, copy))
+        any_ = any(len(shown.get(norm(x), ())) >= min_sites for x in parts)
+        out.append((i, "\n".join(rest) if hits else t, len(parts), hits, page and any_))
     return sorted(out, key=repr)
 
 
@@ -32,7 +38,7 @@ def test_against_brute_force(spark):
     rows += [(300, None, None), (301, "", "site1"), (302, "\n\n", None), (302, "\n\n", None), (None, "Accept cookies\n" + own, None)]
     got = lines.remove_boilerplate(_docs(spark, rows), min_sites=8)
     have = sorted((tuple(r[c] for c in ("doc_id", "text", "n_lines", "n_removed", "whole_copy")) for r in got.collect()), key=repr)
-    assert have == _brute(rows, 8, 0.5)
+    assert have == _brute(rows, 8)
     assert got.columns == ["doc_id", "text", "source", "extra", "n_lines", "n_removed", "whole_copy"]
 
 
@@ -43,6 +49,8 @@ def test_every_document_loses_its_boilerplate(spark):
     rows += [(22 + i, "own twice\nShared footer of all sites", f"s{i}") for i in range(2)]
     rows += [(30 + i, page, f"s{i}") for i in range(9)]
     rows += [(40, "one page\nnot copied", "s0")]
+    have = lines.remove_boilerplate(_docs(spark, rows), min_sites=8)
+    assert sorted((tuple(r[c] for c in ("doc_id", "text", "n_lines", "n_removed", "whole_copy")) for r in have.collect()), key=repr) == _brute(rows, 8)
     got = {r["doc_id"]: (r["text"], r["n_removed"], r["whole_copy"])
            for r in lines.remove_boilerplate(_docs(spark, rows), min_sites=8).collect()}
     want = {i: (f"a line of its own {i}", 1, False) for i in range(10)}
@@ -63,3 +71,15 @@ def test_empty_and_very_long(spark):
     long = "\n".join(f"line {i}" for i in range(100_000))
     got = lines.remove_boilerplate(_docs(spark, [(1, long, "a")])).first()
     assert (got["n_lines"], got["n_removed"], got["text"]) == (100_000, 0, long)
+
+
+def test_hot_names_are_dealt_out(spark):
+    # A page that is a third of all rows, and one line on every row.
+    rows = [(i, "the page\nits second line\nFooter", f"s{i % 40}") for i in range(400)]
+    rows += [(1000 + i, f"a line of its own {i}\nFooter", f"s{i % 40}") for i in range(700)]
+    rows += [(2000 + i, f"the page\nwith more {i}", f"s{i % 5}") for i in range(50)]
+    got = lines.remove_boilerplate(_docs(spark, rows).repartition(7), min_sites=8)
+    assert sorted((tuple(r[c] for c in ("doc_id", "text", "n_lines", "n_removed", "whole_copy")) for r in got.collect()), key=repr) == _brute(rows, 8)
+    counts = spark.createDataFrame([(i, 1) for i in range(30_000)] + [(-1, 50_000), (-2, 30_000)], "k int, n int")
+    assert {(r["k"], r["parts"]) for r in lines._hot(counts, ["k"]).collect()} == {(-1, 4546), (-2, 2728)}
+    assert lines._hot(counts.limit(0), ["k"]).count() == 0

@@ -1,8 +1,13 @@
 """Cross-site boilerplate lines, found by how many distinct sites show them.
 
+Texts are read once, into a table of line hashes per different text and site.
 A HyperLogLog sketch of sites per line hash merges by aggregation, so a line on
 every page costs one small row per task.  Lines whose estimate lies near the
 threshold get an exact count of distinct sites; the others are decided by it.
+
+Only lines with as many rows as sites are asked for can reach the threshold; the
+others go before any sketch is made.  Of the rest, those with very many rows are
+few by arithmetic (HOT); joins deal their rows out over several tasks.
 """
 
 from __future__ import annotations
@@ -12,11 +17,12 @@ from pyspark.sql import functions as F
 
 from wordclips.llm.catalog import query, table
 from wordclips.llm.text import text_key, whole
+from wordclips.session import stored
 
-#: Production parameters: sites that make a line boilerplate; MOST is of the rule that
-#: OP7_SQL still has: a document with a larger share of boilerplate was left whole.
+#: Production parameter: sites that make a line boilerplate.
 MIN_SITES = 8
-MOST = 0.5
+#: Names with more than one in HOT of all rows are dealt out in joins: fewer than HOT of them can be.
+HOT = 10_000
 
 
 def normal(line: Column) -> Column:
@@ -33,47 +39,80 @@ def _hashes(line: Column) -> list[Column]:
     return [F.xxhash64(line).alias("h1"), F.hash(line).alias("h2")]
 
 
-def _lines(docs: DataFrame, site: str | None = None, keyed: bool = False) -> DataFrame:
-    """Lines that are not blank: at, h1, h2; with their site if one is named, with the text's key if not or if ``keyed``."""
-    cols = [text_key("text").alias("key")] if site is None or keyed else []
-    cols += [_site(site).alias("site")] if site is not None else []
-    names = ("key",) * (site is None or keyed) + ("site",) * (site is not None)
-    return docs.select(*cols, F.posexplode(F.transform(
-        F.split(whole("text"), "\n"), normal)).alias("at", "line")) \
-        .where("line != ''").select(*names, "at", *_hashes(F.col("line")))
+def _shown(docs: DataFrame, site: str) -> DataFrame:
+    """Each different text once per site: key, site, lines (at, h1, h2 of those that are not blank)."""
+    line = F.filter(F.transform(F.split(whole("text"), "\n"), lambda x, i: F.struct(i.alias("at"), normal(x).alias("line"))),
+                    lambda x: x["line"] != "")
+    rows = docs.select(text_key("text").alias("key"), _site(site).alias("site"), F.transform(
+        line, lambda x: F.struct(x["at"].alias("at"), *_hashes(x["line"]))).alias("lines"))
+    return rows.groupBy("key", "site").agg(F.max("lines").alias("lines"))
 
 
-def boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES,
-                log_k: int = 10) -> DataFrame:
-    """Hashes (h1, h2) of the lines that ``min_sites`` distinct sites or more show.
+def _hot(counts: DataFrame, names: list[str]) -> DataFrame:
+    """Names with more than one in HOT of all that n of ``counts`` adds up to, and in how many parts to deal their rows.
 
-    A null site counts as one site.  Estimates further from ``min_sites`` than
-    five standard errors of the sketch (and than two sites) are trusted.
+    Fewer than HOT names, with fewer than 2 * HOT parts in all.
     """
-    seen = _lines(docs, site)
-    spread = seen.groupBy("h1", "h2").agg(
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("all"))
+    share = F.col("n") * HOT / F.col("all")
+    return stored(counts.crossJoin(F.broadcast(total)).where(share > 1).select(      # one row
+        *names, F.ceil(share).cast("int").alias("parts")), "hot")
+
+
+def _meet(rows: DataFrame, found: DataFrame, hot: DataFrame, names: list[str], how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``found`` on ``names``; rows of a hot name are dealt out over its parts, and it is repeated for each."""
+    known, parts = F.broadcast(hot), F.coalesce("parts", F.lit(1))
+    mine = rows.join(known, names, "left").withColumn("__part", F.pmod(F.xxhash64(*rows.columns), parts).cast("int")).drop("parts")
+    theirs = found.join(known, names, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    return mine.join(theirs, [*names, "__part"], how).drop("__part")
+
+
+def _candidates(shown: DataFrame, min_sites: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (key, site, copied, at, h1, h2) of lines that enough rows show, and the hot lines among them."""
+    each = shown.select("key", "site", "copied", F.explode("lines").alias("x")).select("key", "site", "copied", "x.at", "x.h1", "x.h2")
+    counts = stored(each.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_sites), "often")
+    hot = _hot(counts, ["h1", "h2"])
+    return stored(_meet(each, counts.select("h1", "h2"), hot, ["h1", "h2"], "left_semi"), "lines"), hot
+
+
+def _spread(rows: DataFrame, hot: DataFrame, min_sites: int, log_k: int) -> DataFrame:
+    spread = rows.groupBy("h1", "h2").agg(
         F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(log_k))).alias("sites"))
     margin = max(2.0, 5 * 1.04 / 2 ** (log_k / 2) * min_sites)
     clear = spread.where(F.col("sites") > min_sites + margin).select("h1", "h2")
     near = spread.where(F.col("sites").between(min_sites - margin, min_sites + margin)).select("h1", "h2")
-    exact = seen.join(near, ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(
+    exact = _meet(rows, near, hot, ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(
         F.countDistinct("site").alias("sites")).where(F.col("sites") >= min_sites)
     return clear.unionByName(exact.select("h1", "h2"))
 
 
-def _hits(docs: DataFrame, site: str, min_sites: int) -> DataFrame:
-    """Per key of a text: the places of lines to remove (hits) and whether it is a page copied (copied)."""
-    bad = boilerplate(docs, site, min_sites)
-    found = _lines(docs, site, keyed=True).join(bad, ["h1", "h2"])
-    copies = docs.select(text_key("text").alias("key"), _site(site).alias("site")).groupBy("key").agg(
-        F.countDistinct("site").alias("sites")).where(F.col("sites") >= min_sites).select("key")
-    single = found.join(copies, "key", "left_anti")
-    apart = single.groupBy("h1", "h2").agg(F.countDistinct("site").alias("sites")) \
-        .where(F.col("sites") >= min_sites).select("h1", "h2", F.lit(True).alias("apart"))
-    paged = found.join(copies, "key", "left_semi").select("key", "at", "h1", "h2").distinct() \
-        .join(apart, ["h1", "h2"], "left").select("key", F.when(F.col("apart"), F.col("at")).alias("at"), F.lit(True).alias("copied"))
-    return single.select("key", "at", F.lit(False).alias("copied")).unionByName(paged).groupBy("key").agg(
+def boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES,
+                log_k: int = 10) -> DataFrame:
+    """Hashes (h1, h2) of the lines that ``min_sites`` distinct sites or more show.
+
+    A null site counts as one site.  Estimates further from ``min_sites`` than
+    five standard errors of the sketch (and than two sites) are trusted.
+    """
+    rows, hot = _candidates(stored(_shown(docs, site).withColumn("copied", F.lit(False)), "shown"), min_sites)
+    return _spread(rows, hot, min_sites, log_k)
+
+
+def _hits(docs: DataFrame, site: str, min_sites: int, log_k: int = 10) -> DataFrame:
+    """Per key of a text with boilerplate: the places of lines to remove (hits) and whether it is a page copied (copied)."""
+    names = ["h1", "h2"]
+    shown = stored(_shown(docs, site), "shown")
+    copies = shown.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_sites)
+    told = _meet(shown, copies.select("key", F.lit(True).alias("copied")), _hot(copies, ["key"]), ["key"], "left")
+    rows, hot = _candidates(told.withColumn("copied", F.col("copied").isNotNull()), min_sites)
+    found = stored(_meet(rows, _spread(rows, hot, min_sites, log_k), hot, names, "left_semi"), "found")
+    single = found.where(~F.col("copied"))
+    apart = single.groupBy(*names).agg(F.countDistinct("site").alias("sites")).where(F.col("sites") >= min_sites)
+    paged = found.where("copied").select("key", "at", *names).distinct()
+    paged = _meet(paged, apart.select(*names, F.lit(True).alias("apart")), hot, names, "left")
+    hits = single.select("key", "at", "copied").unionByName(paged.select(
+        "key", F.when(F.col("apart"), F.col("at")).alias("at"), F.lit(True).alias("copied"))).groupBy("key").agg(
         F.collect_set("at").alias("hits"), F.bool_or("copied").alias("copied"))
+    return stored(hits, "hits")             # so that the join with texts can be split where a text is copied often
 
 
 def remove_boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
@@ -109,26 +148,22 @@ def remove_boilerplate(docs: DataFrame, site: str = "source", min_sites: int = M
 
 OP7_SQL = f"""
 WITH parts AS (
-  SELECT doc_id, coalesce(source, '?') AS site, coalesce(text, '') AS text,
-         string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+  SELECT doc_id, coalesce(source, '?') AS site, coalesce(text, '') AS text FROM documents),
+copies AS (SELECT text FROM parts GROUP BY text HAVING count(DISTINCT site) >= {MIN_SITES}),
+told AS (SELECT p.*, c.text IS NOT NULL AS copied FROM parts p LEFT JOIN copies c USING (text)),
 each AS (
-  SELECT doc_id, site, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM parts),
-bad AS (
-  SELECT lower(trim(line, ' ')) AS line FROM each WHERE trim(line, ' ') <> '' GROUP BY 1
-  HAVING count(DISTINCT site) >= {MIN_SITES}),
+  SELECT doc_id, site, copied, unnest(string_split(text, chr(10))) AS line,
+         generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM told),
+seen AS (
+  SELECT lower(trim(line, ' ')) AS line, count(DISTINCT site) AS sites, count(DISTINCT site) FILTER (WHERE NOT copied) AS apart
+  FROM each WHERE trim(line, ' ') <> '' GROUP BY 1),
 marked AS (
-  SELECT doc_id, pos, e.line, b.line IS NOT NULL AS hit
-  FROM each e LEFT JOIN bad b ON lower(trim(e.line, ' ')) = b.line),
-folded AS (
-  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE hit) AS hits,
-         coalesce(sum(length(trim(line, ' '))) FILTER (WHERE NOT hit), 0) AS rest_size,
-         sum(length(trim(line, ' '))) AS size,
-         coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT hit), '') AS rest,
-         string_agg(line, chr(10) ORDER BY pos) AS all_lines FROM marked GROUP BY doc_id)
-SELECT doc_id, n_lines, CASE WHEN rest_size < {1 - MOST} * size THEN 0 ELSE hits END AS n_removed,
-       hits > 0 AND rest_size < {1 - MOST} * size AS whole_copy,
-       sha256(CASE WHEN hits = 0 OR rest_size < {1 - MOST} * size THEN all_lines ELSE rest END) AS kept_sha256
-FROM folded
+  SELECT doc_id, copied, pos, e.line, coalesce(s.sites >= {MIN_SITES}, false) AS bad,
+         coalesce(CASE WHEN copied THEN s.apart ELSE s.sites END >= {MIN_SITES}, false) AS hit
+  FROM each e LEFT JOIN seen s ON lower(trim(e.line, ' ')) = s.line)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE hit) AS n_removed, bool_or(copied AND bad) AS whole_copy,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT hit), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
 """
 
 
