@@ -1,6 +1,7 @@
 """Plain restatements of what the operators must give, for small random inputs."""
 
 import difflib
+import math
 
 
 def runs(words, sources, gap):
@@ -110,3 +111,78 @@ def windows(words, lo=20_000, hi=30_000):
 
 def opcodes(a, b):
     return difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes()
+
+
+def _ascending(pairs):
+    """Pairs (i, j) that cross no other, and the longest ascending run of the rest."""
+    pairs = sorted(pairs)
+    free, tangled = set(), []
+    for n, (i, j) in enumerate(pairs):
+        if all(q < j for _, q in pairs[:n]) and all(q > j for _, q in pairs[n + 1:]):
+            free.add((i, j))
+    run, prev = [], None
+    for i, j in pairs:
+        if (i, j) not in free:
+            if not tangled or j < prev:
+                tangled.append([])
+            tangled[-1].append((i, j))
+        prev = j
+    if tangled:
+        run = max(tangled, key=lambda r: (len(r), -r[0][0]))
+    return sorted(free | set(run))
+
+
+def align(a, b):
+    """Matches (i, j) of two sequences by the rule of ``align``, gap by gap."""
+    found, todo = [], [(list(range(len(a))), list(range(len(b))))]
+    while todo:
+        x, y = todo.pop()
+        here, there = {}, {}
+        for side, words, seen in ((x, a, here), (y, b, there)):
+            for p in side:
+                seen.setdefault(words[p], []).append(p)
+        pairs = [(here[w][0], there[w][0]) for w in here if len(here[w]) == 1 and len(there.get(w, ())) == 1]
+        pairs = pairs or [p for w in here for p in zip(here[w], there.get(w, ()))]
+        if not pairs:
+            continue
+        got = _ascending(pairs)
+        found += got
+        for (i, j), (p, q) in zip([(-1, -1), *got], [*got, (len(a), len(b))]):
+            todo.append(([n for n in x if i < n < p], [n for n in y if j < n < q]))
+    return sorted(found)
+
+
+def ops_of(found, n, m):
+    """Opcodes of sorted matches."""
+    out, run = [], None
+    for i, j in [*found, (n, m)]:
+        if run and run[1] == i and run[3] == j and (i, j) != (n, m):
+            run[1], run[3] = i + 1, j + 1
+            continue
+        if run:
+            out.append(("equal", *run))
+        p, q = (run[1], run[3]) if run else (0, 0)
+        if i > p or j > q:
+            out.append(("replace" if i > p and j > q else "delete" if i > p else "insert", p, i, q, j))
+        run = [i, i + 1, j, j + 1]
+    return out
+
+
+def walk_sentence(words, takes, target, strength=1.0):
+    """Clip of each word by weighing every take after the one before; takes: {word: [(clip, source, category, start, end, loud, bright, pick)]}."""
+    out, prev = [], None
+    for w in words:
+        best = None
+        for c in sorted(takes.get(w, ())):
+            clip, source, category, start, _, loud, bright, pick = c
+            x = pick * (100.0 ** strength if category == target and target is not None else 1.0)
+            if prev is not None:
+                x *= 20.0 ** strength if source == prev[1] else 1.0
+                gaps = [(p - q) ** 2 for p, q in ((prev[4], start), (prev[5], loud), (prev[6], bright)) if p is not None and q is not None]
+                x *= math.exp(-strength * sum(gaps) / len(gaps) / (2 * 0.35 ** 2)) if gaps else 1.0
+            if best is None or x > best[0]:
+                best = (x, c)
+        if best is not None:
+            prev = best[1]
+            out.append((w, prev[0]))
+    return out

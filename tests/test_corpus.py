@@ -164,19 +164,6 @@ def test_corpus_round_trip_and_upgrade(spark, tmp_path):
     assert CO.upgrade(up, StructType.fromDDL("edited int")).columns == up.columns and up.collect()[0].edited == 0
 
 
-def test_anchored_diff_equals_the_whole_one_on_unique_words(spark):
-    a = [f"w{i}" for i in range(300)]
-    b = [w if i % 50 != 7 else w + "x" for i, w in enumerate(a)]
-    A = spark.createDataFrame([(1, i, w) for i, w in enumerate(a)], "source_id bigint, pos bigint, word string")
-    B = spark.createDataFrame([(1, i, w) for i, w in enumerate(b)], "source_id bigint, pos bigint, word string")
-    x, y = RC.anchor_blocks(A, B, "source_id", size=60)
-    assert x.select("block").distinct().count() > 2
-    k = ["source_id", "block"]
-    x, y = RC._numbered(x, k), RC._numbered(y, k)
-    ops = RC.diff_tokens(x.withColumn("key", F.col("word")), y.withColumn("key", F.col("word")), k)
-    assert ops.where("tag = 'replace'").count() == sum(t == "replace" for t, *_ in models.opcodes(a, b)) and ops.where("tag in ('insert','delete')").count() == 0
-
-
 def test_votes_stream_like_the_log(spark, tmp_path):
     ev = [(i, "w", i % 3, "reset" if i % 7 == 0 else "add", 1 if i % 2 else -1) for i in range(60)]
     schema = "seq bigint, word string, clip_id bigint, op string, delta bigint"

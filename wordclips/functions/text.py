@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,9 +13,6 @@ NON_WORD = r"[^\p{L}\p{N}_]"
 NON_WORD_KEEP_APOSTROPHE = r"[^\p{L}\p{N}_']"
 SENTENCE_END = r"""[.!?]["')\]]*$"""
 
-# Accented letters and what they fold to.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-FOLDED = "aaaaaaceeeeiiiinooooouuuuyy"
 
 
 def _c(col) -> Column:
@@ -30,11 +31,30 @@ def norm_tokens(col) -> Column:
     return F.filter(F.transform(F.split(_c(col), r"\s+"), lambda t: clean_word(t)), lambda w: w != "")
 
 
+@lru_cache(maxsize=1)
+def _folds() -> tuple[str, str, dict[str, str]]:
+    """What letters beyond ASCII fold to by Unicode's compatibility decomposition: one letter each, or several."""
+    one, into, more = [], [], {}
+    for code in range(128, sys.maxunicode + 1):
+        letter = chr(code)
+        if not unicodedata.decomposition(letter):
+            continue
+        plain = unicodedata.normalize("NFKD", letter).encode("ascii", "ignore").decode()
+        if len(plain) == 1:
+            one.append(letter)
+            into.append(plain)
+        elif plain:
+            more[letter] = plain
+    return "".join(one), "".join(into), more
+
+
 def ascii_fold(col) -> Column:
-    """Accents taken off, whatever is still not ASCII dropped."""
-    plain = F.translate(_c(col), ACCENTED + ACCENTED.upper(),
-                        FOLDED + FOLDED.upper())
-    return F.regexp_replace(plain, r"[^\x00-\x7F]", "")
+    """Accents, ligatures and styles taken off as Unicode decomposes them; whatever is still not ASCII is dropped."""
+    one, into, more = _folds()
+    plain = F.translate(_c(col), one, into)
+    several = F.create_map(*[F.lit(x) for pair in more.items() for x in pair])
+    spelt = F.array_join(F.transform(F.split(plain, ""), lambda x: F.coalesce(F.try_element_at(several, x), x)), "")
+    return F.regexp_replace(F.when(plain.rlike(r"[^\x00-\x7F]"), spelt).otherwise(plain), r"[^\x00-\x7F]", "")
 
 
 def ends_sentence(token) -> Column:

@@ -16,6 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wordclips.session import stored
+
 _CHUNK = "__chunk"
 _BEFORE = (Window.unboundedPreceding, -1)
 _UPTO = (Window.unboundedPreceding, Window.currentRow)
@@ -139,13 +141,28 @@ def min_before(expr) -> Step:
     )
 
 
-def scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column,
+def min_after(expr) -> Step:
+    return Step(
+        lambda w, wd: F.min(_col(expr)).over(wd.rowsBetween(*_BEFORE)),
+        lambda o: F.min(_col(expr)),
+        lambda s, w, wd: F.min(s).over(wd.rowsBetween(*_BEFORE)),
+        lambda a, b: F.least(a, b),
+    )
+
+
+def scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column | None,
          **steps: Step) -> DataFrame:
     """Add ordered columns per ``keys``; ``order`` must be total in a group.
 
-    ``chunk`` must not decrease along ``order``.  Keys must not be null.
+    ``chunk`` must not decrease along ``order``.  Keys must not be null.  With no
+    chunk each group is one window: only for groups known to be small.
     """
     keys, order = list(keys), list(order)
+    if chunk is None:
+        one = Window.partitionBy(*keys)
+        w, wd = one.orderBy(*order), one.orderBy(*[F.desc(c) for c in order])
+        return df.select(*[c for c in df.columns if c not in steps], *[
+            s.combine(s.local(w, wd), F.lit(None)).alias(n) for n, s in steps.items()])
     base = df.withColumn(_CHUNK, chunk)
     near = Window.partitionBy(*keys, _CHUNK)
     w, wd = near.orderBy(*order), near.orderBy(*[F.desc(c) for c in order])
@@ -260,3 +277,23 @@ def with_halo(df: DataFrame, place: str, size: int, before: int, after: int) ->
         home, bucket(F.col(place) + before, size), bucket(F.col(place) - after, size)))
     return df.select("*", home.alias("__home"), F.explode(near).alias("chunk")) \
         .withColumn("own", F.col("chunk") == F.col("__home")).drop("__home")
+
+
+def reach(first: DataFrame, step: DataFrame, keys: Sequence[str], longest: int) -> DataFrame:
+    """Every (keys..., n) met from those of ``first`` by following ``step`` (keys..., n, to), each once.
+
+    Each n has one ``to`` at most and no way comes back; ``longest`` is no less
+    than the steps of the longest way.  Pointer doubling: tables of 1, 2, 4, ...
+    steps are joined from one another, and what lies at any distance is gathered
+    from the longest steps to the shortest, so the rounds grow with the logarithm.
+    """
+    keys = list(keys)
+    jumps = [step.select(*keys, "n", "to")]
+    while (1 << len(jumps)) <= longest:
+        now = jumps[-1]
+        then = now.select(*keys, F.col("n").alias("to"), F.col("to").alias("__far"))
+        jumps.append(stored(now.join(then, [*keys, "to"]).select(*keys, "n", F.col("__far").alias("to")), "jumps"))
+    met = first.select(*keys, "n")
+    for now in reversed(jumps):
+        met = met.unionByName(met.join(now, [*keys, "n"]).select(*keys, F.col("to").alias("n")))
+    return met

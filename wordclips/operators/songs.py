@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from wordclips.functions import music as MU
 from wordclips.operators import ordered as O
+from wordclips.session import stored
 
 PART = ["song_id", "part_id"]
 MINUTE_MS = 60_000
@@ -287,17 +288,25 @@ def melody(notes: DataFrame) -> DataFrame:
 
     Only the highest note of a moment can stay.  A moment 30 ms or more after
     the one before it always stays, so the rule is followed only inside the
-    runs of moments closer than that.
+    runs of moments closer than that: from a run's first moment, along the table
+    of next moments (``reach``), at any length of a run.
     """
     tops = notes.groupBy(*PART, "start_ms").agg(F.max("pitch").alias("pitch"))
     seq = O.scan(tops, PART, ["start_ms"], _minute(), prev=O.lag("start_ms"))
     fresh = F.col("prev").isNull() | (F.col("start_ms") - F.col("prev") >= MELODY_GAP_MS)
     seq = O.scan(seq.withColumn("fresh", fresh.cast("int")), PART, ["start_ms"], _minute(), run=O.running_sum("fresh"))
-    g = seq.groupBy(*PART, "run").agg(F.sort_array(F.collect_list(F.struct("start_ms", "pitch"))).alias("ns"))
-    none = F.array().cast("array<struct<start_ms:bigint,pitch:bigint>>")
-    kept = F.aggregate("ns", none, lambda a, x: F.when(
-        (F.size(a) == 0) | (x["start_ms"] - F.element_at(a, -1)["start_ms"] >= MELODY_GAP_MS), F.array_append(a, x)).otherwise(a))
-    return g.select(*PART, F.explode(kept).alias("n")).select(*PART, "n.start_ms", "n.pitch")
+    run = [*PART, "run"]
+    seq = stored(seq.select(*run, "start_ms", "pitch"), "moments")
+    # From each moment to the next one that may be kept after it: 30 ms later, in the same run.
+    asks = seq.select(*run, (F.col("start_ms") + MELODY_GAP_MS).alias("at"), F.col("start_ms").alias("n"))
+    both = asks.withColumn("is_moment", F.lit(False)).unionByName(seq.select(
+        *run, F.col("start_ms").alias("at"), F.col("start_ms").alias("n"), F.lit(True).alias("is_moment")))
+    steps = O.scan(both, run, ["at", "is_moment", "n"], _minute("at"), to=O.lead("at", F.col("is_moment")))
+    steps = stored(steps.where(~F.col("is_moment") & F.col("to").isNotNull()).select(*run, "n", "to"), "steps")
+    longest = steps.groupBy(*run).agg(F.count(F.lit(1)).alias("c")).agg(F.max("c")).first()[0] or 0
+    first = seq.groupBy(*run).agg(F.min("start_ms").alias("n"))
+    kept = O.reach(first, steps, run, longest)
+    return seq.join(kept.withColumnRenamed("n", "start_ms"), [*run, "start_ms"]).select(*PART, "start_ms", "pitch")
 
 
 def auto_octave(median: Column, sample: Column) -> Column:

@@ -184,12 +184,28 @@ def _(t):
     return WN.spread_words(g.select("group_id", F.col("tok").alias("j"), "word").join(ends, "group_id")).select("group_id", "j", "word", "start_ms", "end_ms")
 
 
-@query("C10_group_words")
+_WIN = """WITH RECURSIVE p AS (SELECT source_id, start_ms, end_ms, row_number() OVER (PARTITION BY source_id ORDER BY start_ms, clip_id) AS n FROM clips WHERE end_ms > start_ms),
+    mx AS (SELECT source_id, n, max(end_ms) OVER (PARTITION BY source_id ORDER BY n) AS upto FROM p),
+    f AS (SELECT source_id, upto, min(n) AS n FROM mx GROUP BY 1, 2),"""
+# No clip is as long as a window, so the first end past a time is the first running maximum past it.
+_HEADS = """heads AS (SELECT source_id, min(n) AS n FROM p GROUP BY 1 UNION ALL SELECT h.source_id, x.nxt FROM heads h JOIN nx x ON x.source_id = h.source_id AND x.n = h.n)
+    SELECT source_id, n AS win, CAST(coalesce(lead(n) OVER (PARTITION BY source_id ORDER BY n), last + 1) - n AS BIGINT) AS words
+    FROM heads JOIN (SELECT source_id, max(n) AS last FROM p GROUP BY 1) USING (source_id)"""
+
+
+@query("C10_group_words", "clips", f"""{_WIN}
+    nx AS MATERIALIZED (SELECT p.source_id, p.n, f.n AS nxt FROM p ASOF JOIN f ON f.source_id = p.source_id AND p.start_ms + 40000 < f.upto), {_HEADS}""")
 def _(t):
     return WN.window_words(t.clips, "group").groupBy("source_id", "win").agg(F.count(F.lit(1)).alias("words"))
 
 
-@query("C10_window_words")
+@query("C10_window_words", "clips", f"""{_WIN}
+    lo AS (SELECT p.*, f.n AS lo FROM p ASOF JOIN f ON f.source_id = p.source_id AND p.start_ms + 20000 <= f.upto),
+    hi AS (SELECT lo.*, f.n AS hi FROM lo ASOF LEFT JOIN f ON f.source_id = lo.source_id AND lo.start_ms + 30000 <= f.upto),
+    gaps AS (SELECT source_id, n, start_ms - lag(end_ms) OVER (PARTITION BY source_id ORDER BY n) AS gap FROM p),
+    nx AS MATERIALIZED (SELECT h.source_id, h.n, CAST(coalesce(arg_max(g.n, g.gap * 1000000 - g.n), min(h.lo)) AS BIGINT) AS nxt
+      FROM (SELECT source_id, n, greatest(lo, n + 1) AS lo, coalesce(hi, 9223372036854775807) AS hi FROM hi) h
+      LEFT JOIN gaps g ON g.source_id = h.source_id AND g.n >= h.lo AND g.n < h.hi AND g.n < h.lo + 1000 GROUP BY 1, 2), {_HEADS}""")
 def _(t):
     return WN.window_words(t.clips, "window").groupBy("source_id", "win").agg(F.count(F.lit(1)).alias("words"))
 
@@ -216,7 +232,7 @@ _KEYS = ["source_id", "win"]
 @query("T1_diff_tokens")
 def _(t):
     w, h = windows(t)
-    return RC.diff_tokens(RC.compared_as(w), RC.compared_as(h), _KEYS).groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
+    return RC.diff_tokens(RC.compared_as(w), RC.compared_as(h), _KEYS)
 
 
 @query("T2_plan_corrections")
@@ -238,8 +254,12 @@ def _(t):
 
 @query("T4_apply_actions")
 def _(t):
-    clips, _reports = RC.apply_actions(t.aligned.drop("tok"), t.reports, actions(t), _KEYS)
-    return clips.select(*CLIP)
+    return RC.apply_actions(t.aligned.drop("tok"), t.reports, actions(t), _KEYS)[0].select(*CLIP)
+
+
+@query("T4_told_reports")
+def _(t):
+    return RC.apply_actions(t.aligned.drop("tok"), t.reports, actions(t), _KEYS)[1]
 
 
 def edits(t):
