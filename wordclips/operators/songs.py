@@ -70,23 +70,33 @@ def pair_notes(events: DataFrame, ends: DataFrame) -> DataFrame:
 
     ``events`` is (song_id, track, channel, pitch, tick, seq, is_on, velocity),
     ``ends`` (song_id, track, end_tick).  An off takes the count of open notes
-    below every earlier low exactly when nothing is open: it is dropped.  The
-    k-th on then belongs to the k-th off left; an on without one ends with its
-    track, unreleased.
+    below 0 and every earlier low exactly when nothing is open: it is dropped, so
+    the low, turned round, tells how many were.  The k-th on then belongs to the
+    k-th off left; an on without one ends with its track, unreleased.
+
+    One pass: counts and lows inside chunks, one row a chunk (its counts and its
+    low) from which follows what each chunk begins with, and one grouping by k.
     """
     key = ["song_id", "track", "channel", "pitch"]
-    order, chunk = ["tick", "seq"], O.bucket("tick", TICKS)
-    e = events.withColumn("d", F.when(F.col("is_on"), 1).otherwise(-1))
-    e = O.scan(e, key, order, chunk, open=O.running_sum("d"))
-    e = O.scan(e, key, order, chunk, low=O.min_before("open"))
-    stray = ~F.col("is_on") & (F.col("open") < F.least(F.lit(0), F.coalesce("low", F.lit(0))))
-    e = O.scan(e.where(~stray), key, order, chunk,
-               k_on=O.running_sum(F.col("is_on").cast("int")), k_off=O.running_sum((~F.col("is_on")).cast("int")))
-    on = e.where("is_on").select(*key, F.col("k_on").alias("k"), F.col("tick").alias("start"), "velocity")
-    off = e.where(~F.col("is_on")).select(*key, F.col("k_off").alias("k"), F.col("tick").alias("end"))
-    both = on.join(off, [*key, "k"], "left").join(ends, ["song_id", "track"], "left")
-    return both.select(*key, "k", "velocity", "start", F.coalesce("end", "end_tick").alias("end"),
-                       F.col("end").isNotNull().alias("released"))
+    near = Window.partitionBy(*key, "chunk").orderBy("tick", "seq")
+    upto, before = near.rowsBetween(Window.unboundedPreceding, 0), near.rowsBetween(Window.unboundedPreceding, -1)
+    e = events.withColumns({"chunk": O.bucket("tick", TICKS), "d": F.when(F.col("is_on"), 1).otherwise(-1)})
+    e = e.withColumns({"open": F.sum("d").over(upto), "ons": F.count_if("is_on").over(upto), "rows": F.count(F.lit(1)).over(upto)})
+    e = e.withColumn("low", F.min("open").over(before))
+    chunks = e.groupBy(*key, "chunk").agg(F.sum("d").alias("d"), F.min("open").alias("low"), F.count_if("is_on").alias("ons"), F.count(F.lit(1)).alias("rows"))
+    far = Window.partitionBy(*key).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    chunks = chunks.select(*key, "chunk", "low", *[F.coalesce(F.sum(c).over(far), F.lit(0)).alias(f"{c}0") for c in ("d", "ons", "rows")])
+    chunks = chunks.select(*key, "chunk", "d0", "ons0", "rows0", F.least(F.lit(0), F.min(F.col("d0") + F.col("low")).over(far)).alias("low0"))
+    e = e.join(chunks, [*key, "chunk"])
+    open_, low = F.col("d0") + F.col("open"), F.least("low0", F.col("d0") + F.col("low"))
+    ons = F.col("ons0") + F.col("ons")
+    stray = ~F.col("is_on") & (open_ < low)
+    k = F.when(F.col("is_on"), ons).otherwise(F.col("rows0") + F.col("rows") - ons + low)
+    both = e.where(~stray).groupBy(*key, k.alias("k")).agg(
+        F.max(F.when(F.col("is_on"), F.struct("tick", "velocity"))).alias("on"), F.max(F.when(~F.col("is_on"), F.col("tick"))).alias("off"))
+    return both.join(ends, ["song_id", "track"], "left").select(
+        *key, "k", F.col("on.velocity").alias("velocity"), F.col("on.tick").alias("start"),
+        F.coalesce("off", "end_tick").alias("end"), F.col("off").isNotNull().alias("released"))
 
 
 def clamp_notes(notes: DataFrame) -> DataFrame:
