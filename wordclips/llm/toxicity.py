@@ -30,7 +30,7 @@ from wordclips.llm.sampling import per_label
 from wordclips.llm.text import whole
 
 #: Bound of the training sample: documents per label, and windows of WINDOW words of each.
-PER_LABEL, WINDOWS, WINDOW = 1000, 48, 64
+PER_LABEL, WINDOWS, WINDOW = 800, 48, 64
 BITS = 18
 BEGINNINGS, ENDINGS = (3, 4, 5, 6, 7, 8), (3, 4)
 #: Columns of the features: the word, its beginnings, its ends, its shape, the word before and after.
@@ -205,8 +205,7 @@ def train(values: np.ndarray, tags: np.ndarray, first: np.ndarray, bits: int = B
           rate: float = 0.15, decay: float = 2e-6, seed: int = 5) -> Chain:
     """Weights by Adam on the conditional log-likelihood of the tags, a batch of whole sequences at a time."""
     rng = np.random.default_rng(seed)
-    place = np.where(values == 0, 0, (values & np.uint32((1 << bits) - 1)).astype(np.int64))
-    some = values != 0
+    low = np.uint32((1 << bits) - 1)
     weights, begin, pairs = np.zeros(1 << bits), np.zeros(2), np.zeros((2, 2))
     held = [(np.zeros_like(x), np.zeros_like(x)) for x in (weights, begin, pairs)]
     cuts = np.append(np.flatnonzero(first), len(tags))
@@ -217,22 +216,23 @@ def train(values: np.ndarray, tags: np.ndarray, first: np.ndarray, bits: int = B
         size = np.cumsum(cuts[order + 1] - cuts[order])
         for part in np.split(order, np.flatnonzero(np.diff(size // batch)) + 1):
             at = np.concatenate([np.arange(cuts[i], cuts[i + 1]) for i in part])
-            f, y, p = first[at], tags[at], place[at]
-            said = np.where(some[at], weights[p], 0.0).sum(axis=1)
+            f, y, v = first[at], tags[at], values[at]
+            p, some = (v & low).astype(np.int64), v != 0
+            said = np.where(some, weights[p], 0.0).sum(axis=1)
             tag, pair = marginals(said, f, Chain(weights, begin, pairs))
             miss = (y - tag) / len(at)
-            step = np.bincount(p.ravel(), (miss[:, None] * some[at]).ravel(), minlength=len(weights)) - decay * weights
+            step = np.bincount(p.ravel(), (miss[:, None] * some).ravel(), minlength=len(weights)) - decay * weights
             seen = np.zeros((2, 2))
             np.add.at(seen, (y[:-1][~f[1:]], y[1:][~f[1:]]), 1)
             starts = np.array([(1 - y[f]).sum() - (1 - tag[f]).sum(), y[f].sum() - tag[f].sum()])
             turn += 1
             pace = rate * max(0.02, 1 - turn / turns)           # ever smaller steps: the last batch is not the last word
-            for x, (m, v), g in zip((weights, begin, pairs), held, (step, starts / len(at), (seen - pair.sum(axis=2)) / len(at)), strict=True):
+            for x, (m, s), g in zip((weights, begin, pairs), held, (step, starts / len(at), (seen - pair.sum(axis=2)) / len(at)), strict=True):
                 m *= 0.9
                 m += 0.1 * g
-                v *= 0.98
-                v += 0.02 * g * g
-                x += pace * (m / (1 - 0.9 ** turn)) / (np.sqrt(v / (1 - 0.98 ** turn)) + 1e-8)
+                s *= 0.98
+                s += 0.02 * g * g
+                x += pace * (m / (1 - 0.9 ** turn)) / (np.sqrt(s / (1 - 0.98 ** turn)) + 1e-8)
     return Chain(weights.astype(np.float32), begin, pairs)
 
 
@@ -259,9 +259,10 @@ def seeds(doc: np.ndarray, own: np.ndarray, toxic: np.ndarray, ratio: float = 1.
     in a document.  Taken are all that gain ``sure`` over all documents, then one
     by one those that gain the most over documents without any so far.
     """
-    n = own.shape[1]
-    pair = (np.repeat(doc.astype(np.uint64), n) << np.uint64(32)) | own.ravel().astype(np.uint64)
-    pair, often = np.unique(pair[own.ravel() != 0], return_counts=True)
+    pair = np.concatenate([(doc[f != 0].astype(np.uint64) << np.uint64(32)) | f[f != 0].astype(np.uint64) for f in own.T])
+    pair.sort()
+    at = np.flatnonzero(np.diff(pair, prepend=~pair[:1]))
+    often, pair = np.diff(at, append=len(pair)), pair[at]
     pair = np.concatenate((pair, pair[often > 1]))
     twice = np.arange(len(pair)) >= len(often)
     where = (pair >> np.uint64(32)).astype(np.int64)
@@ -392,11 +393,12 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = PER_LABEL, windows: int
     toxic = np.array([r["toxic"] == 1 for r in got])
     if not len(got) or toxic.all() or not toxic.any():
         return None
-    rows = [np.frombuffer(bytes(r["features"]), dtype="<u4").reshape(-1, FEATURES) for r in got]
-    doc = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    rows = [np.frombuffer(r["features"], dtype="<u4").reshape(-1, FEATURES) for r in got]
+    doc = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
     # A window's first word has none before it, and so had no feature of one.
     values = np.concatenate(rows)
     first = np.concatenate([np.arange(len(r)) % window == 0 for r in rows])
+    del rows, got
     weight = np.where(toxic, share[1] / toxic.sum(), share[0] / (~toxic).sum())
     with np.errstate(over="ignore"):
         return learn(doc, values, first, toxic, weight / weight.mean())
