@@ -72,3 +72,14 @@ def test_empty_table_and_very_long_text(spark):
 def test_size_may_be_any_column(spark):
     got = mixing.mix(_docs(spark, [(1, "abc", "a"), (2, "abcdef", "a")]), size=F.length("text").cast("bigint"))
     assert {r["size"] for r in got.collect()} == {3, 6}
+
+
+def test_a_text_in_two_sources_is_taken_from_each(spark):
+    rows = [(1, "one text here", s) for s in ("A", "B", "B", None)] + [(i, "w " * (i % 5 + 1), "AB"[i % 2]) for i in range(2, 30)]
+    docs = _docs(spark, rows)
+    for seed in range(17, 23):
+        plan = {}
+        for r in mixing.mix(docs, seed=seed).collect():
+            plan[r["doc_id"], r["source"]] = plan.get((r["doc_id"], r["source"]), 0) + r["copies"]
+        have = {(r["doc_id"], r["source"]): r["count"] for r in mixing.mixed(docs, seed=seed).groupBy("doc_id", "source").count().collect()}
+        assert have == {k: n for k, n in plan.items() if n}

@@ -101,16 +101,19 @@ def mix(docs: DataFrame, size: Column | None = None, weights: Sequence[float] =
 
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
-    """The mix itself: every document as often as it is taken, with ``repeat`` from 1."""
+    """The mix itself: every document as often as it is taken from its source, with ``repeat`` from 1.
+
+    Rows of one doc_id, text and source are told apart by lang and n_chars; equal rows are interchangeable.
+    """
     seed = how.get("seed", 17)
     plan = mix(docs, **how).where("copies > 0").select(
-        F.col("doc_id").alias("d"), F.col("key").alias("k"), F.col("copy").alias("c"),
+        F.col("doc_id").alias("d"), F.col("key").alias("k"), F.col("copy").alias("c"), F.col("source").alias("s"),
         "size", "source_size", "target", "copies")
     keyed = docs.select("doc_id", "text", "lang", "source", "n_chars",
                         F.xxhash64(whole("text"), F.lit(seed)).alias("key"))
     keyed = keyed.withColumn("copy", F.row_number().over(
-        Window.partitionBy("doc_id", "key").orderBy("source")))
-    meet = (F.col("doc_id").eqNullSafe(F.col("d"))) & (F.col("key") == F.col("k")) & (F.col("copy") == F.col("c"))
+        Window.partitionBy("doc_id", "key", "source").orderBy("lang", "n_chars")))
+    meet = F.col("doc_id").eqNullSafe(F.col("d")) & F.col("source").eqNullSafe(F.col("s")) & (F.col("key") == F.col("k")) & (F.col("copy") == F.col("c"))
     return keyed.join(plan, meet).select(
         "doc_id", "text", "lang", "source", "n_chars", "size", "source_size", "target",
         F.explode(F.sequence(F.lit(1).cast("bigint"), "copies")).alias("repeat"))
