@@ -63,3 +63,10 @@ def test_next_and_likeness(spark):
 def test_very_long_text(spark):
     got = _prints(spark, ["w1 w2 w3 w4 w5 w6 w7 " * 60_000], FP.K, FP.W)[0]
     assert len(got) > 60_000 / FP.W
+
+
+def test_the_next_row_whatever_columns_are_named(spark):
+    docs = spark.createDataFrame([(i, f"t{i}", i, "x", 2, 3) for i in range(9)], "doc_id bigint, text string, c bigint, after string, k int, head int")
+    got = FP.with_next(docs, "doc_id", F.col("text"), "next", per_chunk=2)
+    assert got.columns == [*docs.columns, "next"]
+    assert {(r["doc_id"], r["c"], r["after"], r["k"], r["next"]) for r in got.collect()} == {(i, i, "x", 2, f"t{(i + 1) % 9}") for i in range(9)}

@@ -149,6 +149,31 @@ def test_containment_against_brute_force(spark):
     assert kept.columns == ["doc_id", "text", "key", "words"]
 
 
+def test_scattered_items_are_found(spark):
+    # Items of 100 words in five pieces, hundreds of words between: 80 of 96 shingles are left.
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(50_000)}"
+    items = [(i, " ".join(word() for _ in range(100))) for i in range(40)]
+    docs = []
+    for i, text in items:
+        w, out = text.split(), []
+        for n in range(0, 100, 20):
+            out += w[n:n + 20] + [word() for _ in range(rng.randrange(200, 600))]
+        docs.append((i, " ".join(out)))
+    got = decontaminate.contained(_docs(spark, docs), _items(spark, items)).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(i, i) for i in range(40)}
+
+
+def test_hits_that_rule_a_class_out():
+    for size in (4, 8, 16, 128):
+        least = decontaminate.least_hits(size, 0.8)
+        smallest = 1 if size == 4 else size // 2 + 1
+        assert least >= 1 and (least - 1) < 0.8 * smallest <= least
+    values = np.arange(40)[::-1].reshape(1, 40).astype(np.uint64)
+    assert decontaminate.window_minima(values, 4).tolist() == [[20, 16, 12, 8, 4, 0]]
+    assert decontaminate.window_minima(values[:, :10], 4).tolist() == [[30]]
+
+
 def test_containment_of_empty_tables(spark):
     docs, items = _docs(spark, [(1, "a b c d e f")]), _items(spark, [(1, "a b c d e")])
     assert decontaminate.contained(docs.limit(0), items).count() == 0

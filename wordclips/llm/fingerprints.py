@@ -93,6 +93,7 @@ def with_next(docs: DataFrame, key: str, value: Column, into: str, per_chunk: in
     Rows with equal keys follow one another in order of ``value``; a null key
     comes first.  The rows are cut at quantiles of ``key`` into chunks, each in
     order in its own task; from the next chunk only the first row is needed.
+    ``key`` is numeric; input columns may have any name without two leading underscores.
     """
     stats = docs.agg(F.count(F.lit(1)).alias("n"), F.count(key).alias("have")).first()
     parts = max(1, min(10_000, stats["n"] // per_chunk))
@@ -109,18 +110,18 @@ def with_next(docs: DataFrame, key: str, value: Column, into: str, per_chunk: in
     inside = rows.repartition("__chunk").withColumn(
         "__next", F.lead(F.struct("__value")).over(Window.partitionBy("__chunk").orderBy(*order)))
     # One key per chunk (at most 10,000, checked above), then the value of that key's first row.
-    firsts = narrow.groupBy("__chunk").agg(F.min(F.struct(F.col(key))).alias("k"))
+    firsts = narrow.groupBy("__chunk").agg(F.min(F.struct(F.col(key).alias("key"))).alias("__k"))
     # struct() orders null first, as above.
-    heads = rows.join(F.broadcast(firsts.select(F.col("__chunk").alias("c"), F.col("k")[key].alias("k"))),
-                      (F.col("__chunk") == F.col("c")) & F.col(key).eqNullSafe(F.col("k")))
+    heads = rows.join(F.broadcast(firsts.select(F.col("__chunk").alias("__c"), F.col("__k")["key"].alias("__k"))),
+                      (F.col("__chunk") == F.col("__c")) & F.col(key).eqNullSafe(F.col("__k")))
     heads = heads.groupBy("__chunk").agg(F.min(F.struct("__value")).alias("head"))
     around = Window.orderBy("__chunk")
-    ends = heads.select(F.col("__chunk").alias("c"), F.coalesce(
+    ends = heads.select(F.col("__chunk").alias("__c"), F.coalesce(
         F.lead("head").over(around), F.first("head").over(
-            around.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("after"))
-    joined = inside.join(ends, F.col("__chunk") == F.col("c"))
-    return joined.withColumn(into, F.coalesce("__next", "after")["__value"]) \
-        .drop("__chunk", "__value", "__next", "c", "after")
+            around.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("__after"))
+    joined = inside.join(ends, F.col("__chunk") == F.col("__c"))
+    return joined.withColumn(into, F.coalesce("__next", "__after")["__value"]) \
+        .drop("__chunk", "__value", "__next", "__c", "__after")
 
 
 @query("op2_winnow_fingerprints")

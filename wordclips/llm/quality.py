@@ -46,7 +46,7 @@ _BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
 def term_counts(data: np.ndarray, piece: int = 1 << 20) -> np.ndarray:
-    """Counts of a whole text's terms, gathered a piece at a time."""
+    """Counts of a whole text's terms, runs gathered a piece at a time; they don't depend on the pieces."""
     out = np.zeros(TERMS, dtype=np.float64)
     for lo in range(0, len(data), piece):
         part = data[lo:lo + piece + 4]      # runs across the cut are counted once, with the former piece
@@ -62,11 +62,10 @@ def term_counts(data: np.ndarray, piece: int = 1 << 20) -> np.ndarray:
             for j in range(1, 5):
                 run = run * np.uint32(0x01000193) ^ c[j:n + j]
             out[RUNS:RUNS + CLASSES] += np.bincount((run * np.uint32(0x9E3779B1)) >> np.uint32(22), minlength=CLASSES)
-        words = arrays.word_hashes(np.where(_BLANK[data[lo:lo + piece]], np.uint8(32), data[lo:lo + piece]))
-        for d in range(1, AGAIN):           # a word that was said d words ago
-            if len(words) > d:
-                out[RUNS + CLASSES + d] += (words[d:] == words[:-d]).sum()
-        out[RUNS + CLASSES] += len(words)
+    words = arrays.word_hashes(np.where(_BLANK[data], np.uint8(32), data))     # cuts between words by itself
+    for d in range(1, AGAIN):               # a word that was said d words ago
+        out[RUNS + CLASSES + d] = (words[d:] == words[:-d]).sum()
+    out[RUNS + CLASSES] = len(words)
     return out
 
 

@@ -297,8 +297,11 @@ def remove_repeats(docs: DataFrame, size: int = SIZE) -> DataFrame:
     ``size`` bytes that covers it also starts anywhere else, in this document or
     another; strings are those of the input.  Copies of a text, rows with an equal
     doc_id among them, are each other's repeats, so all of them go.  Texts shorter
-    than ``size`` bytes stay whole.  ``kept`` may end inside a character.
+    than ``size`` bytes stay whole.  ``kept`` may end inside a character.  ``size``
+    is 60,000 at most: places within a range are packed.
     """
+    if not 0 < size <= 60_000:
+        raise ValueError("size must be between 1 and 60,000")
     texts = _texts(docs)
     # Each copy of a text gives the same spans; one of each is gathered.
     spans = repeated(texts, size).distinct().groupBy("key").agg(F.collect_list("place").alias("spans")) \

@@ -35,7 +35,7 @@ def path(url: str) -> Column:
 
 
 def ruled(rules: Sequence[tuple[str, str]], host_: Column, path_: Column) -> Column:
-    """Struct (rule, verdict) of the longest rule that fits, or null; of equally long ones the first."""
+    """Struct (rule, verdict) of the longest rule that fits, or null; of equally long ones the last."""
     found = F.lit(None).cast("struct<rule: string, verdict: string>")
     for verdict, rule in sorted(rules, key=lambda r: len(r[1])):
         site, slash, rest = rule.partition("/")
