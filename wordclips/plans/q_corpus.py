@@ -254,12 +254,10 @@ def _(t):
 
 @query("T4_apply_actions")
 def _(t):
-    return RC.apply_actions(t.aligned.drop("tok"), t.reports, actions(t), _KEYS)[0].select(*CLIP)
-
-
-@query("T4_told_reports")
-def _(t):
-    return RC.apply_actions(t.aligned.drop("tok"), t.reports, actions(t), _KEYS)[1]
+    # Both results: every clip, with the reports against it.
+    clips, reports = RC.apply_actions(t.aligned.drop("tok"), t.reports, actions(t), _KEYS)
+    told = reports.groupBy("clip_id").agg(F.sum("count").alias("reports"))
+    return clips.select(*CLIP).join(told, "clip_id", "left")
 
 
 def edits(t):
