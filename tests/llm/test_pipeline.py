@@ -24,12 +24,12 @@ def _docs(r, item):
         lines = [" ".join(words[n:n + 15]) for n in range(0, len(words), 15)]
         if 150 <= i < 156:
             lines.insert(2, item)
-        if i % 4 == 0:
+        if i % 5 == 0:
             lines.append(FOOTER)
         rows.append((i, "\n".join(lines), lang, f"s{i % 12}"))
-    rows += [(200 + i, rows[i][1] + " " + _word(r, "en"), rows[i][2], f"s{i % 12}") for i in range(12)]       # near copies
+    rows += [(200 + i, _word(r, "en") + " " + rows[i][1], rows[i][2], f"s{i % 12}") for i in range(12)]       # near copies
     rows += [(220 + i, rows[20][1], rows[20][2], "s1") for i in range(4)]                                    # exact ones
-    rows += [(300, None, None, "s1"), (301, "", "en", None), (302, "12 34 !? 56", "en", "s2"), (None, rows[30][1] + " the end", "en", None)]
+    rows += [(300, None, None, "s1"), (301, "", "en", None), (302, "12 34 !? 56", "en", "s2"), (None, "the end " + rows[31][1], "en", None)]
     return [(i, t, g, s, None if t is None else len(t), "more") for i, t, g, s in rows]
 
 
