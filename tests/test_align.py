@@ -89,3 +89,10 @@ def test_similarity_of_words(spark):
     for x in got:
         assert x.s == pytest.approx(difflib.SequenceMatcher(None, x.a, x.b, autojunk=False).ratio()), x
     assert spark.createDataFrame([(None, "a")], "a string, b string").select(RC.similarity(F.col("a"), "b").alias("s")).first().s is None
+
+
+def test_accents_fold_as_unicode_decomposes_them(spark):
+    from wordclips.functions import text as TX
+    pairs = [("café", "cafe"), ("Škoda", "Skoda"), ("ő", "o"), ("é", "e"), ("ﬁn", "fin"), ("½", "12"), ("ß", ""), ("日本a", "a"), ("", ""), ("plain", "plain")]
+    got = spark.createDataFrame(pairs, "word string, want string").select("want", TX.ascii_fold("word").alias("folded")).collect()
+    assert [(x.want, x.folded) for x in got if x.want != x.folded] == []
